@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OBJECT = "map<string,string>"
 OBJECT_LIST = "array<map<string,string>>"
@@ -60,11 +61,19 @@ def ref_name(ref: Column) -> Column:
     return F.substring_index(ref, "/", -1)
 
 
-@F.pandas_udf("map<string,string>")
-def indented(blobs: pd.Series) -> pd.Series:
-    """Two-space rendering of each JSON text in an array, keyed by that text."""
+def _indent_all(blobs: pd.Series) -> pd.Series:
     return blobs.map(
         lambda items: None
         if items is None
         else {blob: json.dumps(json.loads(blob), indent=2) for blob in items}
     )
+
+
+def indented(blobs: Column) -> Column:
+    """Two-space rendering of each JSON text in an array, keyed by that text.
+
+    Marked nondeterministic only to keep the optimizer from pushing later
+    filters below it, which would open the documents a second time.
+    """
+    udf = F.pandas_udf(_indent_all, T.MapType(T.StringType(), T.StringType())).asNondeterministic()
+    return udf(blobs)

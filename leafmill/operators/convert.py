@@ -18,6 +18,10 @@ from leafmill.operators.routing import with_route
 from leafmill.operators.scan import with_destination
 
 PASS_THROUGH = ["copy", "json"]
+_STAGING = [
+    "_api_text", "_nb_text", "_py_text", "_api_md", "_nb_md", "_py_md", "_api_md_ok", "_nb_md_ok",
+    "file_name", "content",
+]
 
 
 def convert_files(files: DataFrame, plain_python: bool = False) -> DataFrame:
@@ -58,10 +62,15 @@ def convert_files(files: DataFrame, plain_python: bool = False) -> DataFrame:
             .cast("long"),
             "is_api_spec": F.col("route") == "api",
             "is_sdk_file": F.col("route") == "python",
-            "error": F.when(F.col("content").isNull(), "unreadable")
-            .when(F.col("markdown").isNull(), F.concat(F.lit("not convertible: "), F.col("route"))),
+            # From flags, not from the text: a filter on it stays cheap.
+            "error": F.when(F.col("content").isNull(), "unreadable").when(
+                (F.col("route") == "bad_json")
+                | ((F.col("route") == "api") & ~F.col("_api_md_ok"))
+                | ((F.col("route") == "notebook") & ~F.col("_nb_md_ok")),
+                F.concat(F.lit("not convertible: "), F.col("route")),
+            ),
         }
-    ).drop("_api_text", "_nb_text", "_py_text", "_api_md", "_nb_md", "_py_md", "file_name", "content")
+    ).drop(*_STAGING)
 
 
 def count_routes(files: DataFrame) -> DataFrame:

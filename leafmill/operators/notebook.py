@@ -94,13 +94,13 @@ def render(cell: Column, lang: Column) -> Column:
 def with_notebook_markdown(
     files: DataFrame, source: str = "content", name: str = "file_name", target: str = "notebook_markdown"
 ) -> DataFrame:
-    """Add the Markdown of each notebook; NULL when it is not one."""
+    """Add the Markdown of each notebook, and ``<target>_ok``; NULL and false
+    when it is none."""
     staged = files.withColumn("_nb", opened(F.col(source)))
     staged = staged.withColumn("_cells", cells(F.col("_nb"))).withColumn("_lang", language(F.col("_nb")))
     blocks = F.transform("_cells", lambda c: render(c, F.col("_lang")))
-    return staged.withColumn(
-        target, X.text("# ", F.col(name), "\n\n", F.array_join(blocks, "\n\n"), "\n")
-    ).drop("_nb", "_cells", "_lang")
+    markdown = X.text("# ", F.col(name), "\n\n", F.array_join(blocks, "\n\n"), "\n")
+    return staged.withColumns({target: markdown, f"{target}_ok": F.col("_cells").isNotNull()}).drop("_nb", "_cells", "_lang")
 
 
 def notebook_cells(files: DataFrame) -> DataFrame:

@@ -229,7 +229,8 @@ def _json_blobs(found: Column) -> Column:
 
 
 def with_api_markdown(files: DataFrame, source: str = "content", target: str = "api_markdown") -> DataFrame:
-    """Add the Markdown of each document; NULL when it cannot be converted."""
+    """Add the Markdown of each document, and ``<target>_ok``; NULL and false
+    when it cannot be converted."""
     opened = files.withColumn("_spec", J.as_object(F.col(source)))
     opened = opened.withColumn("_spec", F.when(is_convertible(F.col("_spec")), F.col("_spec")))
     opened = opened.withColumn("_endpoints", F.when(F.col("_spec").isNotNull(), endpoints(F.col("_spec"))))
@@ -249,7 +250,7 @@ def with_api_markdown(files: DataFrame, source: str = "content", target: str = "
         ),
     ).otherwise("")
     markdown = F.when(spec.isNotNull(), text(intro, _models(model_section(spec)), body))
-    return opened.withColumn(target, markdown).drop("_spec", "_endpoints", "_blobs", "_pretty")
+    return opened.withColumns({target: markdown, f"{target}_ok": spec.isNotNull()}).drop("_spec", "_endpoints", "_blobs", "_pretty")
 
 
 # --- tables ---------------------------------------------------------------------

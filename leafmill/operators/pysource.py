@@ -83,9 +83,7 @@ def find_classes(source: str) -> list[dict]:
     ]
 
 
-@F.pandas_udf(FOUND_DDL)
-def scan_source(sources: pd.Series) -> pd.DataFrame:
-    """Functions and classes of each source; NULL text gives NULL lists."""
+def _scan(sources: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "functions": sources.map(find_functions, na_action="ignore"),
@@ -95,6 +93,15 @@ def scan_source(sources: pd.Series) -> pd.DataFrame:
     )
 
 
+def scan_source(source: Column | str) -> Column:
+    """Functions and classes of each source; NULL text gives NULL lists.
+
+    Marked nondeterministic only to keep the optimizer from pushing later
+    filters below it, which would scan the sources a second time.
+    """
+    return F.pandas_udf(_scan, FOUND_DDL).asNondeterministic()(source)
+
+
 # --- columns over the scanner's result --------------------------------------------
 
 

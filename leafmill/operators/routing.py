@@ -64,9 +64,9 @@ def is_existing_candidate(path: Column, content: Column) -> Column:
     return X.ends_with_any(path, [".py", ".ipynb", ".md", ".rst", ".txt"]) | is_documentation(path, content)
 
 
-def drop_failed(converted: DataFrame, column: str = "markdown") -> DataFrame:
+def drop_failed(converted: DataFrame) -> DataFrame:
     """Failed conversions have no text and leave the job here."""
-    return converted.filter(F.col(column).isNotNull())
+    return converted.filter(F.col("error").isNull())
 
 
 def is_excluded(path: Column, globs: list[str] | None = None) -> Column:

@@ -26,7 +26,7 @@ from leafmill.operators.convert import conversion_errors, convert_files
 from leafmill.operators.corpora import code_generation_corpus, sft_corpus
 from leafmill.operators.metadata import standardise, with_metadata
 from leafmill.operators.split import apply_cuts, split_cuts
-from leafmill.session import scratch
+from leafmill.session import written
 from leafmill.sinks.writers import write_corpus, write_csv
 from leafmill.sources.tree import list_tree, read_contents
 
@@ -40,14 +40,6 @@ class Corpora:
     code_generation: DataFrame
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """Write once, read back: cuts lineage, survives lost executors, has a size."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def plan_files(files: DataFrame) -> DataFrame:
     """Chosen (file, category) rows without text."""
     return S.with_path_in_category(S.assign_categories(files))
@@ -60,7 +52,7 @@ def convert_repositories(files: DataFrame) -> DataFrame:
     the unique path. Trees on disk should be planned before their text is read,
     see :func:`read_repositories`; then there is no join at all.
     """
-    chosen = _written(plan_files(files.select(*SLIM)).select("path", "category", "rel_in_category"), "plan")
+    chosen = written(plan_files(files.select(*SLIM)).select("path", "category", "rel_in_category"), "plan")
     return convert_files(files.join(chosen, "path"))
 
 
@@ -74,9 +66,9 @@ def records_from_converted(
 ) -> DataFrame:
     """Written conversions to split, documentation-only standard records."""
     kept = R.drop_failed(converted)
-    losers = _written(S.collision_losers(kept), "losers")
+    losers = written(S.collision_losers(kept), "losers")
     unique = S.drop_collision_losers(kept, losers).withColumnRenamed("dest_path", "file_path")
-    cuts = _written(split_cuts(unique, test_ratio, seed), "cuts")
+    cuts = written(split_cuts(unique, test_ratio, seed), "cuts")
     rows = apply_cuts(unique, cuts, seed).withColumn("content", F.col("markdown"))
     return standardise(with_metadata(R.keep_documentation(rows)), compat_flags)
 
@@ -115,7 +107,7 @@ def build_from_tree(
     spark: SparkSession, root: str, output_dir: str, test_ratio: float = 0.2, seed: int = 42
 ) -> Corpora:
     """All repositories below ``root`` to written corpora."""
-    converted = _written(read_repositories(spark, root), "converted")
+    converted = written(read_repositories(spark, root), "converted")
     return save_corpora(records_from_converted(converted, test_ratio, seed), output_dir)
 
 
@@ -127,7 +119,7 @@ def rebuild_existing(
     Listing, layout and suffix rules come first; only what passes is read.
     """
     manifest = S.existing_outputs(list_tree(spark, tree)).drop("category")
-    files = _written(read_contents(manifest, tree), "existing")
+    files = written(read_contents(manifest, tree), "existing")
     return save_corpora(existing_records(files, test_ratio, seed), output_dir)
 
 
@@ -166,7 +158,7 @@ def build_catalog(
     seed: int = 42,
 ) -> Corpora:
     """All configured repositories of a files table to written corpora."""
-    converted = _written(convert_repositories(choose_repositories(files, catalog, listing)), "converted")
+    converted = written(convert_repositories(choose_repositories(files, catalog, listing)), "converted")
     return save_corpora(records_from_converted(converted, test_ratio, seed), output_dir)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.session import scratch
+
 DIALECT = {
     "spark": {
         "micros_to_time": "timestamp_micros",
@@ -227,6 +229,26 @@ files AS (
   FROM texts)"""
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as one lazy plan, spread over all tasks."""
+    tasks = spark.sparkContext.defaultParallelism
+    source = f"FROM (SELECT /*+ REPARTITION({tasks}) */ * FROM parquet.`{sf_dir}/documents.parquet`)"
+    return spark.sql(f"WITH {files_cte('spark').replace('FROM documents', source)} SELECT * FROM files")
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cte = files_cte("spark").replace("FROM documents", f"FROM parquet.`{sf_dir}/documents.parquet`")
-    return spark.sql(f"WITH {cte} SELECT * FROM files")
+    """The view as a table, which is what a checkout is to the operators.
+
+    Derived by Spark and written to the shared scratch folder once per
+    application, so that plans show the operators over a pruned scan and not
+    over the expressions that make up the texts.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = scratch(spark, "files")
+        derive(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
