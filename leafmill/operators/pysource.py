@@ -289,8 +289,8 @@ def _paragraph(c: Column) -> Column:
     return F.when(c != "", text(c, "\n\n")).otherwise("")
 
 
-def _fence(c: Column, lang: str = "python") -> Column:
-    return text(f"```{lang}\n", c, "\n```\n\n")
+def _fence(c: Column) -> Column:
+    return text("```python\n", c, "\n```\n\n")
 
 
 def _doc_paragraph(body: Column) -> Column:

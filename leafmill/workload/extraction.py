@@ -50,14 +50,15 @@ def api_models(spark, sf):
     return A.api_models(specs(spark, sf))
 
 
-@query("api_properties", SPECS + f""" SELECT repo_name, path, model, p.rowid AS property_ordinal, p.key AS property,
-  CASE WHEN {get('p.value', 'type', "'object'")} = 'array' AND json_exists(p.value, '$.items') THEN 'array of ' ||
-         CASE WHEN json_exists(p.value, '$.items."$ref"') THEN '[' || split_part(json_extract_string(p.value, '$.items."$ref"'), '/', -1) || ']'
-              ELSE {get('p.value', 'items.type', "'object'")} END
-       WHEN json_exists(p.value, '$."$ref"') THEN '[' || split_part(json_extract_string(p.value, '$."$ref"'), '/', -1) || ']'
-       ELSE {get('p.value', 'type', "'object'")} END AS type,
-  {get('p.value', 'description')} AS description
-  FROM (SELECT *, row_number() OVER (PARTITION BY path, model ORDER BY p.rowid) - 1 AS r FROM models m, json_each(m.body, '$.properties') p) p""".replace("p.rowid AS property_ordinal, p.key AS property", "r AS property_ordinal, key AS property").replace("p.value", "value"))
+@query("api_properties", SPECS + f""" SELECT repo_name, path, model, property_ordinal, property,
+  CASE WHEN {get('value', 'type', "'object'")} = 'array' AND json_exists(value, '$.items') THEN 'array of ' ||
+         CASE WHEN json_exists(value, '$.items."$ref"') THEN '[' || split_part(json_extract_string(value, '$.items."$ref"'), '/', -1) || ']'
+              ELSE {get('value', 'items.type', "'object'")} END
+       WHEN json_exists(value, '$."$ref"') THEN '[' || split_part(json_extract_string(value, '$."$ref"'), '/', -1) || ']'
+       ELSE {get('value', 'type', "'object'")} END AS type,
+  {get('value', 'description')} AS description
+  FROM (SELECT m.*, p.*, row_number() OVER (PARTITION BY m.path, model ORDER BY n) - 1 AS property_ordinal
+    FROM models m, (SELECT key AS property, value, rowid AS n FROM json_each(m.body, '$.properties')) p)""")
 def api_properties(spark, sf):
     return A.api_properties(specs(spark, sf))
 
@@ -68,38 +69,38 @@ def api_endpoints(spark, sf):
 
 
 @query("api_parameters", SPECS + f""" SELECT repo_name, path, method, endpoint,
-  row_number() OVER (PARTITION BY path, endpoint_ordinal ORDER BY rowid) - 1 AS parameter_ordinal,
+  row_number() OVER (PARTITION BY path, endpoint_ordinal ORDER BY n) - 1 AS parameter_ordinal,
   {get('value', 'name', "'None'")} AS name, {get('value', 'in', "'unknown'")} AS location,
   coalesce(json_extract_string(value, '$.schema.type'), json_extract_string(value, '$.type'), 'unknown') AS type,
   CASE WHEN json_extract_string(value, '$.required') = 'true' THEN 'required' ELSE 'optional' END AS need,
-  {get('value', 'description')} AS description FROM endpoints e, json_each(e.d, '$.parameters') p""")
+  {get('value', 'description')} AS description FROM endpoints e, (SELECT key, value, rowid AS n FROM json_each(e.d, '$.parameters')) p""")
 def api_parameters(spark, sf):
     return A.api_parameters(specs(spark, sf))
 
 
 @query("api_request_bodies", SPECS + """ SELECT repo_name, path, method, endpoint,
-  row_number() OVER (PARTITION BY path, endpoint_ordinal ORDER BY rowid) - 1 AS body_ordinal, key AS content_type,
+  row_number() OVER (PARTITION BY path, endpoint_ordinal ORDER BY n) - 1 AS body_ordinal, key AS content_type,
   split_part(json_extract_string(value, '$.schema."$ref"'), '/', -1) AS schema_ref,
   CASE WHEN NOT json_exists(value, '$.schema."$ref"') THEN CAST(json_extract(value, '$.schema') AS VARCHAR) END AS schema_json
-  FROM endpoints e, json_each(e.d, '$.requestBody.content') p""")
+  FROM endpoints e, (SELECT key, value, rowid AS n FROM json_each(e.d, '$.requestBody.content')) p""")
 def api_request_bodies(spark, sf):
     return A.api_request_bodies(specs(spark, sf))
 
 
 @query("api_responses", SPECS + f""", statuses AS (
-  SELECT repo_name, path, method, endpoint, row_number() OVER (PARTITION BY path, endpoint_ordinal ORDER BY rowid) - 1 AS response_ordinal,
+  SELECT repo_name, path, method, endpoint, row_number() OVER (PARTITION BY path, endpoint_ordinal ORDER BY n) - 1 AS response_ordinal,
     key AS status, {get('value', 'description')} AS description, json_extract(value, '$.content') AS content
-  FROM endpoints e, json_each(e.d, '$.responses') p)
+  FROM endpoints e, (SELECT key, value, rowid AS n FROM json_each(e.d, '$.responses')) p)
   SELECT s.* EXCLUDE (content), CAST(c.key AS VARCHAR) AS content_type, split_part(json_extract_string(c.value, '$.schema."$ref"'), '/', -1) AS schema_ref
-  FROM statuses s, json_each(s.content) c WHERE content IS NOT NULL
+  FROM statuses s, (SELECT key, value FROM json_each(s.content)) c WHERE content IS NOT NULL
   UNION ALL SELECT * EXCLUDE (content), NULL, NULL FROM statuses WHERE content IS NULL""")
 def api_responses(spark, sf):
     return A.api_responses(specs(spark, sf))
 
 
 @query("api_examples", SPECS + """ SELECT repo_name, path, method, endpoint,
-  row_number() OVER (PARTITION BY path, endpoint_ordinal ORDER BY rowid) - 1 AS example_ordinal, key AS name,
-  CAST(json_extract(value, '$.value') AS VARCHAR) AS value_json FROM endpoints e, json_each(e.d, '$.examples') p""")
+  row_number() OVER (PARTITION BY path, endpoint_ordinal ORDER BY n) - 1 AS example_ordinal, key AS name,
+  CAST(json_extract(value, '$.value') AS VARCHAR) AS value_json FROM endpoints e, (SELECT key, value, rowid AS n FROM json_each(e.d, '$.examples')) p""")
 def api_examples(spark, sf):
     return A.api_examples(specs(spark, sf))
 
@@ -140,8 +141,8 @@ def notebooks(spark, sf):
 @query("notebook_cells", G.FILES + """,
 cells AS (
   SELECT repo_name, path, c.value AS cell, coalesce(json_extract_string(f.content, '$.metadata.language_info.name'), '') AS language,
-    row_number() OVER (PARTITION BY path ORDER BY c.rowid) - 1 AS cell_ordinal
-  FROM files f, json_each(f.content, '$.cells') c WHERE ext = 'ipynb')
+    row_number() OVER (PARTITION BY path ORDER BY n) - 1 AS cell_ordinal
+  FROM files f, (SELECT value, rowid AS n FROM json_each(f.content, '$.cells')) c WHERE ext = 'ipynb')
 SELECT repo_name, path, language, cell_ordinal, json_extract_string(cell, '$.cell_type') AS cell_type,
   CASE WHEN json_type(cell, '$.source') = 'ARRAY' THEN array_to_string(CAST(json_extract(cell, '$.source') AS VARCHAR[]), '')
        ELSE json_extract_string(cell, '$.source') END AS source,
