@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
+from leafmill.functions.reuse import built_once
 from leafmill.functions.text import SENTINEL, found, java, join_all, matches, strip, text
 from leafmill.schema import DESCRIPTION_CHARS
 
@@ -99,6 +100,7 @@ def _listing(heading: str, items: Column) -> Column:
     return F.when(F.size(items) > 0, text(heading, "\n\n", join_all(block))).otherwise("")
 
 
+@built_once
 def sdk_content() -> Column:
     """The assembled document of a code-generation record."""
     c = F.col
@@ -119,17 +121,20 @@ def sdk_content() -> Column:
     )
 
 
+@built_once
+def _code_columns() -> dict[str, Column]:
+    return {
+        "imports": imports(F.col("content")),
+        "classes": class_definitions(F.col("_blocks")),
+        "functions": function_definitions(F.col("_blocks")),
+        "examples": example_blocks(F.col("_blocks")),
+        "heading_structure": headings(F.col("content")),
+    }
+
+
 def code_generation_corpus(records: DataFrame) -> DataFrame:
     """Records plus extracted code, heading outline and assembled text."""
-    staged = records.withColumn("_blocks", code_blocks(F.col("content"))).withColumns(
-        {
-            "imports": imports(F.col("content")),
-            "classes": class_definitions(F.col("_blocks")),
-            "functions": function_definitions(F.col("_blocks")),
-            "examples": example_blocks(F.col("_blocks")),
-            "heading_structure": headings(F.col("content")),
-        }
-    )
+    staged = records.withColumn("_blocks", code_blocks(F.col("content"))).withColumns(_code_columns())
     return staged.drop("_blocks").withColumn("sdk_content", sdk_content()).withColumn("text", F.col("sdk_content"))
 
 

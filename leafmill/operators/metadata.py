@@ -12,8 +12,7 @@ from leafmill.schema import DESCRIPTION_CHARS, RECORD_DEFAULTS
 
 def title(content: Column, file_name: Column) -> Column:
     """First level-one heading, else the file name."""
-    heading = X.first_match(content, P.TITLE, 1, "m")
-    return F.when(heading != "", heading).otherwise(file_name)
+    return F.coalesce(F.nullif(X.first_match(content, P.TITLE, 1, "m"), F.lit("")), file_name)
 
 
 def description(content: Column) -> Column:

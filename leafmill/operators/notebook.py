@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.functions.reuse import built_once
 
 # Version 3 notebooks keep their cells in worksheets and their code in `input`.
 CELL = (
@@ -91,16 +92,28 @@ def render(cell: Column, lang: Column) -> Column:
     ).otherwise(cell["source"])
 
 
+@built_once
+def _markdown_steps(source: str, name: str) -> dict[str, Column]:
+    blocks = F.transform("_cells", lambda c: render(c, F.col("_lang")))
+    return {
+        "opened": opened(F.col(source)),
+        "cells": cells(F.col("_nb")),
+        "language": language(F.col("_nb")),
+        "markdown": X.text("# ", F.col(name), "\n\n", F.array_join(blocks, "\n\n"), "\n"),
+    }
+
+
 def with_notebook_markdown(
     files: DataFrame, source: str = "content", name: str = "file_name", target: str = "notebook_markdown"
 ) -> DataFrame:
     """Add the Markdown of each notebook, and ``<target>_ok``; NULL and false
     when it is none."""
-    staged = files.withColumn("_nb", opened(F.col(source)))
-    staged = staged.withColumn("_cells", cells(F.col("_nb"))).withColumn("_lang", language(F.col("_nb")))
-    blocks = F.transform("_cells", lambda c: render(c, F.col("_lang")))
-    markdown = X.text("# ", F.col(name), "\n\n", F.array_join(blocks, "\n\n"), "\n")
-    return staged.withColumns({target: markdown, f"{target}_ok": F.col("_cells").isNotNull()}).drop("_nb", "_cells", "_lang")
+    step = _markdown_steps(source, name)
+    staged = files.withColumn("_nb", step["opened"])
+    staged = staged.withColumns({"_cells": step["cells"], "_lang": step["language"]})
+    return staged.withColumns({target: step["markdown"], f"{target}_ok": F.col("_cells").isNotNull()}).drop(
+        "_nb", "_cells", "_lang"
+    )
 
 
 def notebook_cells(files: DataFrame) -> DataFrame:

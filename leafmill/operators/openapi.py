@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import jsontext as J
+from leafmill.functions.reuse import built_once
 from leafmill.functions.text import join_all, let, text
 from leafmill.schema import HTTP_METHODS
 
@@ -228,14 +229,8 @@ def _json_blobs(found: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(found, of)), lambda b: b.isNotNull()))
 
 
-def with_api_markdown(files: DataFrame, source: str = "content", target: str = "api_markdown") -> DataFrame:
-    """Add the Markdown of each document, and ``<target>_ok``; NULL and false
-    when it cannot be converted."""
-    opened = files.withColumn("_spec", J.as_object(F.col(source)))
-    opened = opened.withColumn("_spec", F.when(is_convertible(F.col("_spec")), F.col("_spec")))
-    opened = opened.withColumn("_endpoints", F.when(F.col("_spec").isNotNull(), endpoints(F.col("_spec"))))
-    opened = opened.withColumn("_blobs", _json_blobs(F.col("_endpoints")))
-    opened = opened.withColumn("_pretty", J.indented(F.when(F.size("_blobs") > 0, F.col("_blobs"))))
+@built_once
+def _markdown_steps(source: str) -> dict[str, Column]:
     spec, head = F.col("_spec"), info(F.col("_spec"))
     intro = text(
         "# API Reference: ", J.get(head, "title", "Unnamed API"), "\n\n",
@@ -249,8 +244,25 @@ def with_api_markdown(files: DataFrame, source: str = "content", target: str = "
             join_all(F.transform(F.col("_endpoints"), lambda e: _endpoint(e, F.col("_pretty")))),
         ),
     ).otherwise("")
-    markdown = F.when(spec.isNotNull(), text(intro, _models(model_section(spec)), body))
-    return opened.withColumns({target: markdown, f"{target}_ok": spec.isNotNull()}).drop("_spec", "_endpoints", "_blobs", "_pretty")
+    return {
+        "opened": J.as_object(F.col(source)),
+        "checked": F.when(is_convertible(spec), spec),
+        "endpoints": F.when(spec.isNotNull(), endpoints(spec)),
+        "blobs": _json_blobs(F.col("_endpoints")),
+        "markdown": F.when(spec.isNotNull(), text(intro, _models(model_section(spec)), body)),
+    }
+
+
+def with_api_markdown(files: DataFrame, source: str = "content", target: str = "api_markdown") -> DataFrame:
+    """Add the Markdown of each document, and ``<target>_ok``; NULL and false
+    when it cannot be converted."""
+    step = _markdown_steps(source)
+    opened = files.withColumn("_spec", step["opened"]).withColumn("_spec", step["checked"])
+    opened = opened.withColumn("_endpoints", step["endpoints"]).withColumn("_blobs", step["blobs"])
+    opened = opened.withColumn("_pretty", J.indented(F.when(F.size("_blobs") > 0, F.col("_blobs"))))
+    return opened.withColumns(
+        {target: step["markdown"], f"{target}_ok": F.col("_spec").isNotNull()}
+    ).drop("_spec", "_endpoints", "_blobs", "_pretty")
 
 
 # --- tables ---------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
+from leafmill.functions.reuse import built_once
 from leafmill.functions.text import SENTINEL, first_match, found, join_all, matches, strip, text
 
 FOUND_DDL = (
@@ -111,7 +112,7 @@ def docstring(body: Column) -> Column:
 
 
 def _null_if_empty(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def parameter_records(parts: Column) -> Column:
@@ -364,13 +365,8 @@ def _original(content: Column) -> Column:
     return text("## Original Code\n\n```python\n", content, "\n```\n")
 
 
-def with_python_markdown(
-    files: DataFrame, source: str = "content", name: str = "file_name", target: str = "python_markdown"
-) -> DataFrame:
-    """Add the full Markdown of each source; NULL text gives NULL."""
-    staged = files.withColumn("_found", scan_source(F.col(source)))
-    staged = staged.withColumn("_functions", function_records(F.col("_found.functions")))
-    staged = staged.withColumn("_imports", matches(F.col(source), P.MODULE_IMPORT, 0, "m"))
+@built_once
+def _markdown_steps(source: str, name: str) -> dict[str, Column]:
     imports = F.when(
         F.size("_imports") > 0, text("## Imports\n\n", _fence(F.array_join("_imports", "\n")))
     ).otherwise("")
@@ -384,7 +380,21 @@ def with_python_markdown(
         _section("## Functions", F.col("_functions"), _function_block),
         _original(F.col(source)),
     )
-    return staged.withColumn(target, markdown).drop("_found", "_functions", "_imports")
+    return {
+        "functions": function_records(F.col("_found.functions")),
+        "imports": matches(F.col(source), P.MODULE_IMPORT, 0, "m"),
+        "markdown": markdown,
+    }
+
+
+def with_python_markdown(
+    files: DataFrame, source: str = "content", name: str = "file_name", target: str = "python_markdown"
+) -> DataFrame:
+    """Add the full Markdown of each source; NULL text gives NULL."""
+    step = _markdown_steps(source, name)
+    staged = files.withColumn("_found", scan_source(F.col(source)))
+    staged = staged.withColumns({"_functions": step["functions"], "_imports": step["imports"]})
+    return staged.withColumn(target, step["markdown"]).drop("_found", "_functions", "_imports")
 
 
 def with_plain_python_markdown(
