@@ -45,14 +45,20 @@ def plan_files(files: DataFrame) -> DataFrame:
     return S.with_path_in_category(S.assign_categories(files))
 
 
-def convert_repositories(files: DataFrame) -> DataFrame:
-    """Files with text to convertible rows; every file is looked at once.
+def convert_repositories(
+    files: DataFrame, catalog: DataFrame | None = None, listing: DataFrame | None = None
+) -> DataFrame:
+    """A files table with text to converted rows, optionally of a catalog only.
 
-    The category plan is built on slim columns and written, then joined back on
-    the unique path. Trees on disk should be planned before their text is read,
-    see :func:`read_repositories`; then there is no join at all.
+    Repositories, categories and paths are settled on slim columns and written;
+    the text is then joined once, on the unique path. Trees on disk should be
+    planned before their text is read, see :func:`read_repositories`; then there
+    is no join at all.
     """
-    chosen = written(plan_files(files.select(*SLIM)).select("path", "category", "rel_in_category"), "plan")
+    slim = files.select(*SLIM)
+    if catalog is not None:
+        slim = choose_repositories(slim, catalog, listing)
+    chosen = written(plan_files(slim).select("path", "category", "rel_in_category"), "plan")
     return convert_files(files.join(chosen, "path"))
 
 
@@ -73,13 +79,6 @@ def records_from_converted(
     return standardise(with_metadata(R.keep_documentation(rows)), compat_flags)
 
 
-def lazy_records(converted: DataFrame, test_ratio: float = 0.2, seed: int = 42) -> DataFrame:
-    """The same records as one lazy plan, for inputs that are already tables."""
-    unique = S.drop_collision_losers(R.drop_failed(converted)).withColumnRenamed("dest_path", "file_path")
-    rows = apply_cuts(unique, split_cuts(unique, test_ratio, seed), seed)
-    return standardise(with_metadata(R.keep_documentation(rows.withColumn("content", F.col("markdown")))))
-
-
 def existing_records(files: DataFrame, test_ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """Records of an already converted tree, read again as it is."""
     found = S.existing_outputs(files).withColumnsRenamed({"path": "file_path", "length": "size"})
@@ -158,7 +157,7 @@ def build_catalog(
     seed: int = 42,
 ) -> Corpora:
     """All configured repositories of a files table to written corpora."""
-    converted = written(convert_repositories(choose_repositories(files, catalog, listing)), "converted")
+    converted = written(convert_repositories(files, catalog, listing), "converted")
     return save_corpora(records_from_converted(converted, test_ratio, seed), output_dir)
 
 

@@ -19,7 +19,7 @@ CSV_WRITE = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
-CSV_READ = {**CSV_WRITE, "multiLine": "true", "nullValue": "\x00", "emptyValue": ""}
+CSV_READ = {**CSV_WRITE, "multiLine": "true"}
 
 
 def write_csv(records: DataFrame, output_dir: str, mode: str = "overwrite") -> None:
@@ -38,7 +38,9 @@ def read_csv(spark: SparkSession, output_dir: str, which: str = "metadata") -> D
     folder = "metadata.csv" if which == "metadata" else f"csv_by_split/_split={which}"
     kinds = {"file_size": "long", "is_api_spec": "boolean", "is_sdk_file": "boolean"}
     ddl = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in CSV_COLUMNS)
-    return spark.read.schema(ddl).options(**CSV_READ).csv(f"{output_dir}/{folder}")
+    rows = spark.read.schema(ddl).options(**CSV_READ).csv(f"{output_dir}/{folder}")
+    # The file cannot tell an empty string from no value; records have no NULLs.
+    return rows.fillna("")
 
 
 def write_corpus(corpus: DataFrame, output_dir: str, kind: str = "standard", mode: str = "overwrite") -> str:
