@@ -28,7 +28,7 @@ from leafmill.operators.metadata import standardise, with_metadata
 from leafmill.operators.split import apply_cuts, split_cuts
 from leafmill.session import written
 from leafmill.sinks.writers import write_corpus, write_csv
-from leafmill.sources.tree import list_tree, read_contents
+from leafmill.sources.tree import list_tree, read_contents, read_tasks
 
 SLIM = ["repo_name", "rel_path", "path", "length", "modified"]
 
@@ -63,8 +63,10 @@ def convert_repositories(
 
 
 def read_repositories(spark: SparkSession, root: str) -> DataFrame:
-    """Tree below ``root`` to convertible rows; text is read after the choice."""
-    return convert_files(read_contents(plan_files(list_tree(spark, root)), root))
+    """Tree below ``root`` to converted rows; text is read after the choice, by
+    as many tasks as its bytes ask for."""
+    chosen = written(plan_files(list_tree(spark, root)), "plan")
+    return convert_files(read_contents(chosen, root, read_tasks(chosen)))
 
 
 def records_from_converted(
@@ -117,8 +119,8 @@ def rebuild_existing(
 
     Listing, layout and suffix rules come first; only what passes is read.
     """
-    manifest = S.existing_outputs(list_tree(spark, tree)).drop("category")
-    files = written(read_contents(manifest, tree), "existing")
+    manifest = written(S.existing_outputs(list_tree(spark, tree)).drop("category"), "manifest")
+    files = written(read_contents(manifest, tree, read_tasks(manifest)), "existing")
     return save_corpora(existing_records(files, test_ratio, seed), output_dir)
 
 
