@@ -32,6 +32,11 @@ def target_folders(rel_path: Column) -> Column:
     return F.array_distinct(F.filter(folders, lambda x: x.isin(TARGET_FOLDERS)))
 
 
+def has_target_folder(rel_path: Column) -> Column:
+    """The same question as a plain pattern, which is compiled and much cheaper."""
+    return F.lower(rel_path).rlike(rf"(?:\A|/)(?:{'|'.join(TARGET_FOLDERS)})/")
+
+
 def assign_categories(files: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per (file, category).
 
@@ -43,22 +48,24 @@ def assign_categories(files: DataFrame, salts: int = SALTS) -> DataFrame:
     distinct. The files outside target folders are then anti-joined with them on
     a salted key, because one repository may own most of the rows.
     """
-    tagged = exclude_git(files).withColumn("_targets", target_folders(F.col("rel_path")))
-    inside = F.size("_targets") > 0
+    tagged = exclude_git(files)
+    inside = has_target_folder(F.col("rel_path"))
     with_target = (
         tagged.filter(inside)
         .select("repo_name")
         .distinct()
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    targeted = select_suffixes(tagged.filter(inside)).withColumn("category", F.explode("_targets"))
+    targeted = select_suffixes(tagged.filter(inside)).withColumn(
+        "category", F.explode(target_folders(F.col("rel_path")))
+    )
     fallback = (
         select_suffixes(tagged.filter(~inside))
         .withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
         .join(with_target, ["repo_name", "_salt"], "left_anti")
         .withColumn("category", F.lit(FALLBACK_CATEGORY))
     )
-    return targeted.unionByName(fallback.drop("_salt").select(targeted.columns)).drop("_targets")
+    return targeted.unionByName(fallback.drop("_salt").select(targeted.columns))
 
 
 def path_in_category(rel_path: Column, category: Column) -> Column:
