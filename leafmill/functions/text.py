@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- Fixed values: the whitespace set of Python's str.strip and \s. -----------
@@ -121,3 +121,14 @@ def join_all(parts: Column, separator: str = "") -> Column:
 def text(*parts: Column | str) -> Column:
     """Concatenate columns and literal strings."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def one_row_per(df: DataFrame, keep: list[Column | str], items: Column | str, ordinal: str, value: str) -> DataFrame:
+    """One row per list element with its position; empty lists give no row.
+
+    For a plain explode the optimizer adds a filter on the list's size, which
+    would parse the document behind the list a second time. It adds none for the
+    outer variant, whose only extra rows go away again here.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(ordinal, value))
+    return rows.filter(F.col(ordinal).isNotNull())

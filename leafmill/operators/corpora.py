@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
 from leafmill.functions.reuse import built_once
-from leafmill.functions.text import SENTINEL, found, java, join_all, matches, strip, text
+from leafmill.functions.text import SENTINEL, found, java, join_all, matches, one_row_per, strip, text
 from leafmill.schema import DESCRIPTION_CHARS
 
 # --- Fixed values: template texts that must equal the source tool's. ----------
@@ -171,4 +171,4 @@ def text_only(corpus: DataFrame) -> DataFrame:
 
 def exploded(corpus: DataFrame, column: str, value: str) -> DataFrame:
     """One row per element of an extracted list, with its position."""
-    return corpus.select("repo_name", "file_path", F.posexplode(column).alias("ordinal", value))
+    return one_row_per(corpus, ["repo_name", "file_path"], column, "ordinal", value)

@@ -119,16 +119,14 @@ def with_notebook_markdown(
 def notebook_cells(files: DataFrame) -> DataFrame:
     """One row per cell, in order."""
     nb = files.withColumn("_nb", opened(F.col("content")))
-    return (
-        nb.select("repo_name", "path", language(F.col("_nb")).alias("language"), F.posexplode(cells(F.col("_nb"))).alias("cell_ordinal", "c"))
-        .select(
-            "repo_name",
-            "path",
-            "language",
-            "cell_ordinal",
-            F.col("c.cell_type").alias("cell_type"),
-            F.col("c.source").alias("source"),
-            F.size("c.outputs").alias("n_outputs"),
-            F.array_join("c.outputs", "\n").alias("output_text"),
-        )
+    keep = ["repo_name", "path", language(F.col("_nb")).alias("language")]
+    return X.one_row_per(nb, keep, cells(F.col("_nb")), "cell_ordinal", "c").select(
+        "repo_name",
+        "path",
+        "language",
+        "cell_ordinal",
+        F.col("c.cell_type").alias("cell_type"),
+        F.col("c.source").alias("source"),
+        F.size("c.outputs").alias("n_outputs"),
+        F.array_join("c.outputs", "\n").alias("output_text"),
     )

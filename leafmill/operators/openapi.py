@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import jsontext as J
 from leafmill.functions.reuse import built_once
-from leafmill.functions.text import join_all, let, text
+from leafmill.functions.text import join_all, let, one_row_per, text
 from leafmill.schema import HTTP_METHODS
 
 KEY = ("repo_name", "path")
+ENDPOINT = [*KEY, "method", "endpoint"]
 
 
 # --- shared extraction ---------------------------------------------------------
@@ -269,12 +270,14 @@ def with_api_markdown(files: DataFrame, source: str = "content", target: str = "
 
 
 def _specs(files: DataFrame) -> DataFrame:
-    return files.select(*KEY, J.as_object(F.col("content")).alias("spec")).filter(F.col("spec").isNotNull())
+    return files.select(*KEY, J.as_object(F.col("content")).alias("spec"))
 
 
 def api_specs(files: DataFrame) -> DataFrame:
     """One row per document: title, version, description (NULL when absent)."""
-    return _specs(files).select(*KEY, info(F.col("spec")).alias("i"), "spec").select(
+    objects = F.filter(F.array("spec"), lambda s: s.isNotNull())
+    rows = one_row_per(_specs(files), [*KEY], objects, "_at", "spec")
+    return rows.select(*KEY, info(F.col("spec")).alias("i")).select(
         *KEY,
         J.get(F.col("i"), "title", "Unnamed API").alias("title"),
         J.get(F.col("i"), "version", "Unknown").alias("version"),
@@ -283,9 +286,8 @@ def api_specs(files: DataFrame) -> DataFrame:
 
 
 def _models_opened(files: DataFrame) -> DataFrame:
-    return _specs(files).select(
-        *KEY, F.posexplode(J.entries(model_section(F.col("spec")))).alias("model_ordinal", "m")
-    ).select(*KEY, "model_ordinal", F.col("m.key").alias("model"), J.as_object(F.col("m.value")).alias("body"))
+    rows = one_row_per(_specs(files), [*KEY], J.entries(model_section(F.col("spec"))), "model_ordinal", "m")
+    return rows.select(*KEY, "model_ordinal", F.col("m.key").alias("model"), J.as_object(F.col("m.value")).alias("body"))
 
 
 def api_models(files: DataFrame) -> DataFrame:
@@ -295,9 +297,9 @@ def api_models(files: DataFrame) -> DataFrame:
 
 
 def api_properties(files: DataFrame) -> DataFrame:
+    entries = J.entries(F.col("body")["properties"])
     return (
-        _models_opened(files)
-        .select(*KEY, "model", F.posexplode(J.entries(F.col("body")["properties"])).alias("property_ordinal", "p"))
+        one_row_per(_models_opened(files), [*KEY, "model"], entries, "property_ordinal", "p")
         .withColumn("d", J.as_object(F.col("p.value")))
         .select(
             *KEY,
@@ -311,9 +313,8 @@ def api_properties(files: DataFrame) -> DataFrame:
 
 
 def _endpoints_opened(files: DataFrame) -> DataFrame:
-    return _specs(files).select(
-        *KEY, F.posexplode(endpoints(F.col("spec"))).alias("endpoint_ordinal", "e")
-    ).select(
+    rows = one_row_per(_specs(files), [*KEY], endpoints(F.col("spec")), "endpoint_ordinal", "e")
+    return rows.select(
         *KEY,
         "endpoint_ordinal",
         F.upper("e.method").alias("method"),
@@ -336,8 +337,7 @@ def api_endpoints(files: DataFrame) -> DataFrame:
 def api_parameters(files: DataFrame) -> DataFrame:
     p = F.col("p")
     return (
-        _endpoints_opened(files)
-        .select(*KEY, "method", "endpoint", F.posexplode(parameters(F.col("d"))).alias("parameter_ordinal", "p"))
+        one_row_per(_endpoints_opened(files), ENDPOINT, parameters(F.col("d")), "parameter_ordinal", "p")
         .select(
             *KEY,
             "method",
@@ -354,8 +354,7 @@ def api_parameters(files: DataFrame) -> DataFrame:
 
 def api_request_bodies(files: DataFrame) -> DataFrame:
     return (
-        _endpoints_opened(files)
-        .select(*KEY, "method", "endpoint", F.posexplode(body_contents(F.col("d"))).alias("body_ordinal", "b"))
+        one_row_per(_endpoints_opened(files), ENDPOINT, body_contents(F.col("d")), "body_ordinal", "b")
         .withColumn("schema_ref", schema_ref(F.col("b.value")))
         .select(
             *KEY,
@@ -372,8 +371,7 @@ def api_request_bodies(files: DataFrame) -> DataFrame:
 def api_responses(files: DataFrame) -> DataFrame:
     """One row per (status, content type); a status without content keeps one row."""
     return (
-        _endpoints_opened(files)
-        .select(*KEY, "method", "endpoint", F.posexplode(J.entries(F.col("d")["responses"])).alias("response_ordinal", "r"))
+        one_row_per(_endpoints_opened(files), ENDPOINT, J.entries(F.col("d")["responses"]), "response_ordinal", "r")
         .withColumn("body", J.as_object(F.col("r.value")))
         .select(
             *KEY,
@@ -399,8 +397,7 @@ def api_responses(files: DataFrame) -> DataFrame:
 
 def api_examples(files: DataFrame) -> DataFrame:
     return (
-        _endpoints_opened(files)
-        .select(*KEY, "method", "endpoint", F.posexplode(J.entries(F.col("d")["examples"])).alias("example_ordinal", "x"))
+        one_row_per(_endpoints_opened(files), ENDPOINT, J.entries(F.col("d")["examples"]), "example_ordinal", "x")
         .select(
             *KEY,
             "method",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
 from leafmill.functions.reuse import built_once
-from leafmill.functions.text import SENTINEL, first_match, found, join_all, matches, strip, text
+from leafmill.functions.text import SENTINEL, first_match, found, join_all, matches, one_row_per, strip, text
 
 FOUND_DDL = (
     "functions array<struct<name:string,parts:array<string>,returns:string,body:string,definition:string>>,"
@@ -208,9 +208,7 @@ KEY = ("repo_name", "path")
 def py_functions(files: DataFrame) -> DataFrame:
     """One row per function with the nested record; ``ordinal`` = order in the file."""
     scanned = files.select(*KEY, scan_source("content").alias("_found"))
-    return scanned.select(
-        *KEY, F.posexplode(function_records(F.col("_found.functions"))).alias("ordinal", "f")
-    ).select(*KEY, "ordinal", "f.*")
+    return one_row_per(scanned, [*KEY], function_records(F.col("_found.functions")), "ordinal", "f").select(*KEY, "ordinal", "f.*")
 
 
 def py_parameters(functions: DataFrame) -> DataFrame:
@@ -246,7 +244,7 @@ def py_modules(files: DataFrame) -> DataFrame:
 
 def py_classes(files: DataFrame) -> DataFrame:
     scanned = files.select(*KEY, scan_source("content").alias("_found"))
-    return scanned.select(*KEY, F.posexplode("_found.classes").alias("ordinal", "c")).select(
+    return one_row_per(scanned, [*KEY], "_found.classes", "ordinal", "c").select(
         *KEY,
         "ordinal",
         F.col("c.name").alias("name"),

@@ -57,7 +57,7 @@ def assign_categories(files: DataFrame, salts: int = SALTS) -> DataFrame:
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     targeted = select_suffixes(tagged.filter(inside)).withColumn(
-        "category", F.explode(target_folders(F.col("rel_path")))
+        "category", F.explode_outer(target_folders(F.col("rel_path")))
     )
     fallback = (
         select_suffixes(tagged.filter(~inside))
