@@ -14,8 +14,9 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Whole documents go through Arrow, so keep batches small in rows.
+    # Whole documents go through Arrow, so bound batches by rows and by bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
     "spark.ui.enabled": "false",
 }
 
@@ -33,11 +34,24 @@ def session(master: str | None = None, app: str = "leafmill", **extra: str) -> S
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, the folder all nodes share.
 
-    Only a session that names none (a test) falls back to a local folder.
+    Only a local master, whose executors share the driver's disk, may go
+    without one; on a cluster a missing setting is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or os.path.join(tempfile.gettempdir(), "leafmill-scratch")
-    return f"{base.rstrip('/')}/leafmill/{label}-{uuid.uuid4().hex}"
+    if not shared:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        shared = os.path.join(tempfile.gettempdir(), "leafmill-scratch")
+    return f"{shared.rstrip('/')}/leafmill/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch`` named, on whatever store it lies."""
+    if "/leafmill/" not in path:
+        raise ValueError(f"not a scratch folder: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
