@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import exact_dedup, mixing
+from leafmill.llm import bpe, exact_dedup, language, mixing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,3 +44,47 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(table(spark, sf_dir, "documents"))
+
+
+SITES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+BLOCKED_WORDS = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x"]
+
+
+@query(
+    "op3_url_filter",
+    r"""
+    WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+        ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(verdict, h, start)),
+    m AS (SELECT page_id, max_by(h || start, length(h || start)) AS rule, max_by(verdict, length(h || start)) AS verdict
+        FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND (start = '/' OR starts_with(path, start)) GROUP BY page_id)
+    SELECT p.page_id, host, path, rule, coalesce(verdict,
+        CASE WHEN regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|casino-win|free-bets|adult-x)(\.|$)') THEN 'block' ELSE 'allow' END) AS verdict
+    FROM p LEFT JOIN m USING (page_id)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.site_rule(v, s) for v, s in SITES] + [url_filter.word_rule("block", w) for w in BLOCKED_WORDS]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, rules).drop("url")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
+    model = language.fit(docs.filter(~F.col("held_out")))
+    found = language.identified(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def ranks() -> tuple[str, str]:
+    """The rank file and the splitting pattern of the public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op10_byte_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), *ranks())
