@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, exact_dedup, language, mixing, url_filter
+from leafmill.llm import bpe, exact_dedup, language, line_dedup, mixing, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,45 @@ def ranks() -> tuple[str, str]:
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *ranks())
+
+
+@query(
+    "op4_line_dedup",
+    r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents),
+    k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    g AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE last > doc_id) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE last IS NULL OR last = doc_id), '')) AS kept_sha256
+    FROM k LEFT JOIN g USING (key) GROUP BY doc_id
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query(
+    "op1_warc",
+    r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+    g AS (SELECT t, max(page_id) AS keeper FROM p GROUP BY t),
+    d AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS hex, keeper FROM p JOIN g USING (t)),
+    b AS (SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+        (((strpos('0123456789abcdef', substr(hex, CAST((5 * i) // 4 + 1 AS BIGINT), 1)) - 1) * 16
+          + strpos('0123456789abcdef', substr(hex, CAST((5 * i) // 4 + 2 AS BIGINT), 1)) - 1) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31 AS BIGINT), 1)),
+        'string_agg', '') AS payload_digest FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to FROM b
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(archives.select("file", "length"))
+    number = f"^{warc.NAME}([0-9-]+)$"
+    return records.select(
+        F.regexp_extract("record_id", number, 1).try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.regexp_extract("refers_to", number, 1).try_cast("long").alias("refers_to"),
+    )
