@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, exact_dedup, language, line_dedup, mixing, suffix_dedup, url_filter, warc
+from leafmill.llm import bpe, exact_dedup, fingerprint, language, line_dedup, mixing, suffix_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,3 +136,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_fingerprint")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compared(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.shown("fp").alias("fingerprint"), fingerprint.shown("edited_fp").alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
