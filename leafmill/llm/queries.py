@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, exact_dedup, fingerprint, language, line_dedup, mixing, suffix_dedup, url_filter, warc
+from leafmill.llm import bpe, exact_dedup, fingerprint, language, line_dedup, mixing, ngram_join, suffix_dedup, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +146,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.shown("fp").alias("fingerprint"), fingerprint.shown("edited_fp").alias("edited_fingerprint"),
         "near_edited", "near_next",
     )
+
+
+@query("op2_ngram_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.grouped(table(spark, sf_dir, "documents"))
