@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm import texts as X
+
 RUN_CHARACTERS = 200_000
 
 
@@ -126,28 +128,41 @@ def decoded_text(ids: Column, path: str, pattern: str) -> Column:
     return decode(ids)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``n_tokens``, ``ids_sha256`` of little-endian 32-bit ids, ``decoded_sha256``.
+def encoded_rows(
+    docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids: bool = False
+) -> DataFrame:
+    """Adds ``n_tokens``, ``ids_sha256`` of little-endian 32-bit ids and ``decoded_sha256``; with ``ids`` the ids too.
 
-    Ids and bytes are hashed run by run inside the task, so they are never held for a
-    whole batch.
+    Ids and bytes are hashed run by run inside the task, so without ``ids`` they are never
+    held for a whole batch.
     """
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    kind = pa.struct(fields + [("ids", pa.list_(pa.int32()))] * ids)
 
-    @F.arrow_udf("struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string>")
+    @F.arrow_udf("struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ">")
     def digest(column: pa.Array) -> pa.Array:
         made, table = tokenizer(path, pattern)
-        rows = []
+        parts = []
         for run in runs([t or "" for t in column.to_pylist()]):
+            rows = []
             for e in made.encode_batch(run, add_special_tokens=False):
-                ids = e.ids
-                rows.append(
-                    {
-                        "n_tokens": len(ids),
-                        "ids_sha256": hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
-                        "decoded_sha256": hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest(),
-                    }
-                )
-        kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        return pa.array(rows, kind)
-
-    return docs.select(id_col, digest(F.col(text_col)).alias("_d")).select(id_col, "_d.*")
+                own = np.array(e.ids, "<u4")
+                row = {
+                    "n_tokens": len(own),
+                    "ids_sha256": hashlib.sha256(own.tobytes()).hexdigest(),
+                    "decoded_sha256": hashlib.sha256(b"".join(map(table.__getitem__, own.tolist()))).hexdigest(),
+                }
+                rows.append(row | {"ids": own.view(np.int32)} if ids else row)
+            parts.append(pa.array(rows, kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    own = X.free_name(docs.columns, "_coded")
+    added = [f.name for f in kind]
+    kept = [c for c in docs.columns if c not in added]
+    coded = docs.select(*kept, digest(F.col(text_col)).alias(own))
+    return coded.select(*kept, *[F.col(f"{own}.{n}").alias(n) for n in added])
+
+
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row the id and the digests of its encoding and decoding."""
+    return encoded_rows(docs.select(id_col, text_col), path, pattern, text_col).drop(text_col)
