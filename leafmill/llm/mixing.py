@@ -102,9 +102,13 @@ def planned(sizes: DataFrame, block: int = BLOCK_WORDS, **how) -> DataFrame:
 
 def drawn_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """One row per slot of the mix: ``shard``, ``place`` in it, ``source_no``, block ``index``, ``pass``."""
-    piece = 65_536
+    piece = 16_384
     runs = plan.filter("quota > 0").withColumn("run", F.explode(F.expr(f"sequence(0L, (quota - 1) div {piece})")))
-    ranks = runs.repartition("source_no", "run").withColumn(
+    # So many partitions by number: adaptive execution would join these few rows, which become many, into one.
+    slots = plan.agg(F.max("slots")).first()[0] or 0
+    wanted = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = runs.repartition(max(1, min(4 * wanted, -(-slots // piece))), "source_no", "run")
+    ranks = spread.withColumn(
         "rank", F.explode(F.expr(f"sequence(run * {piece}, least((run + 1) * {piece}, quota) - 1)"))
     )
     slot = permuted(F.col("first_slot") + F.col("rank"), F.col("slots"), F.lit(seed).cast("long"))
@@ -169,6 +173,7 @@ def taken_words(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) ->
     placed, plan = _prepared(docs, block=block)
     placed = written(placed, "placed")
     copies = drawn_slots(plan, seed=seed).groupBy("source_no", "index").agg(F.count("*").alias("copies"))
+    copies = written(copies, "copies")  # so that the join knows its size, which the few plan rows hide
     used = with_blocks(placed, block).join(copies, ["source_no", "index"])
     taken = used.groupBy("source_no", "start", "doc_id", "size", "source_size", "target").agg(
         F.sum((F.col("to") - F.col("from")) * F.col("copies")).alias("taken")
@@ -190,7 +195,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED)
     stamp = X.free_name(docs.columns, "_stamp")
     stamped = docs.withColumn(stamp, F.xxhash64("source", "text"))
     placed, plan = _prepared(stamped, stamp, block=block)
-    slots = drawn_slots(plan, seed=seed).select("source_no", "index", "pass")
+    slots = written(drawn_slots(plan, seed=seed).select("source_no", "index", "pass"), "slots")
     used = with_blocks(placed, block).join(slots, ["source_no", "index"])
     spans = used.groupBy("source_no", "start", "pass", F.col("doc_id").alias("_doc"), F.col(stamp).alias("_mark")).agg(
         F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_spans")
