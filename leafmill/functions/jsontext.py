@@ -9,17 +9,35 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.functions.specshape import is_renderable
+
 OBJECT = "map<string,string>"
 OBJECT_LIST = "array<map<string,string>>"
 
 
+#: No limit of its own: a value may be as long and as deep as the text that holds it.
+PARSER = {
+    "maxStringLen": "2147483647",
+    "maxNestingDepth": "2147483647",
+    "maxNumLen": "2147483647",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "true",
+}
+
+
+def parsed(c: Column, kind: str) -> Column:
+    """``from_json`` for text that ``facts`` accepts."""
+    return F.from_json(c, kind, PARSER)
+
+
 def as_object(c: Column) -> Column:
     """One level of an object; NULL for anything that is not an object."""
-    return F.from_json(c, OBJECT)
+    return parsed(c, OBJECT)
 
 
 def entries(c: Column) -> Column:
@@ -27,20 +45,38 @@ def entries(c: Column) -> Column:
     return F.coalesce(F.map_entries(as_object(c)), F.array().cast("array<struct<key:string,value:string>>"))
 
 
-def is_json(c: Column) -> Column:
-    """Whole text is one JSON value; trailing text makes it false."""
-    wrapped = F.concat(F.lit("["), c, F.lit("]"))
-    return F.coalesce(F.json_array_length(wrapped) == 1, F.lit(False)) & ~c.startswith("\ufeff")
+FACTS = pa.struct([("ok", pa.bool_()), ("keyed", pa.bool_()), ("renderable", pa.bool_())])
+
+
+def facts(c: Column, keys: list[str]) -> Column:
+    """One strict parse of a JSON text, in Arrow batches.
+
+    ``ok``: the whole text is one JSON value (NaN and infinities count, single quotes,
+    raw control characters and trailing text do not). ``keyed``: an object with one of
+    ``keys`` at the top. ``renderable``: an object of the shape a specification needs.
+    A NULL text has none of them. Text nested deeper than Python's parser goes (some
+    thousands of levels) is not ok.
+    """
+    wanted = set(keys)
 
+    @F.arrow_udf("struct<ok boolean, keyed boolean, renderable boolean>")
+    def check(texts: pa.Array) -> pa.Array:
+        rows = []
+        for text in texts:
+            try:
+                value = json.loads(text.as_py()) if text.is_valid else None
+                ok = text.is_valid
+            except (ValueError, RecursionError):
+                value, ok = None, False
+            keyed = isinstance(value, dict) and not wanted.isdisjoint(value)
+            rows.append({"ok": ok, "keyed": keyed, "renderable": isinstance(value, dict) and is_renderable(value)})
+        return pa.array(rows, FACTS)
 
-def top_level_keys(c: Column) -> Column:
-    """Keys of a JSON object; NULL for arrays, scalars and bad JSON."""
-    return F.when(is_json(c), F.json_object_keys(c))
+    return check(c)
 
 
 def has_any_key(c: Column, keys: list[str]) -> Column:
-    wanted = F.array(*[F.lit(k) for k in keys])
-    return F.coalesce(F.arrays_overlap(top_level_keys(c), wanted), F.lit(False))
+    return facts(c, keys)["keyed"]
 
 
 def has(obj: Column, key: str) -> Column:

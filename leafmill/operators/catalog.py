@@ -74,8 +74,10 @@ def search(catalog: DataFrame, query: str) -> DataFrame:
 
 
 def append_if_absent(catalog: DataFrame, new: DataFrame) -> DataFrame:
-    """Add entries whose (type, name) is not in the catalog yet."""
-    return catalog.unionByName(new.join(catalog, ["type", "name"], "left_anti"), allowMissingColumns=True)
+    """Add entries whose (type, name), NULLs equal, is not in the catalog yet, each once."""
+    a, b = new.dropDuplicates(["type", "name"]).alias("a"), catalog.alias("b")
+    known = F.col("a.type").eqNullSafe(F.col("b.type")) & F.col("a.name").eqNullSafe(F.col("b.name"))
+    return catalog.unionByName(a.join(b, known, "left_anti"), allowMissingColumns=True)
 
 
 def remove(catalog: DataFrame, gone: DataFrame) -> DataFrame:

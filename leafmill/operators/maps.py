@@ -1,12 +1,15 @@
-"""Extension points: a user's own row map, file map and one-to-many function."""
+"""Extension points: a user's own row map, file map and one-to-many function.
+
+Rows go to the function as plain dicts: integers stay integers and NULL is None.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
@@ -16,16 +19,20 @@ def _ddl(df: DataFrame, added: str) -> StructType:
     return StructType([f for f in df.schema.fields if f.name not in replaced] + list(new))
 
 
-def map_rows(df: DataFrame, function: Callable[[dict], dict], added: str) -> DataFrame:
-    """Add the columns ``function`` returns for each row (DDL in ``added``)."""
-    schema = _ddl(df, added)
+def _mapped(df: DataFrame, function: Callable[[dict], Iterable[dict]], schema: StructType) -> DataFrame:
+    kind = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_dict("records")
-            yield pd.DataFrame([{**row, **function(row)} for row in rows], columns=schema.names)
+            rows = [r for row in batch.to_pylist() for r in function(row)]
+            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in kind.names} for r in rows], schema=kind)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def map_rows(df: DataFrame, function: Callable[[dict], dict], added: str) -> DataFrame:
+    """Add the columns ``function`` returns for each row (DDL in ``added``)."""
+    return _mapped(df, lambda row: [{**row, **function(row)}], _ddl(df, added))
 
 
 def map_files(df: DataFrame, function: Callable[[dict], dict | None], result: str) -> DataFrame:
@@ -35,16 +42,4 @@ def map_files(df: DataFrame, function: Callable[[dict], dict | None], result: st
 
 def expand_files(df: DataFrame, function: Callable[[dict], Iterable[dict]], result: str) -> DataFrame:
     """Any number of records per row."""
-    schema = StructType.fromDDL(result)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [r for row in batch.to_dict("records") for r in function(row)]
-            yield pd.DataFrame(found, columns=schema.names)
-
-    return df.mapInPandas(run, schema)
-
-
-def with_columns(df: DataFrame, **columns) -> DataFrame:
-    """The same for maps that are plain column expressions; stays in the JVM."""
-    return df.transform(lambda d: d.withColumns({k: v if not isinstance(v, str) else F.expr(v) for k, v in columns.items()}))
+    return _mapped(df, function, StructType.fromDDL(result))

@@ -32,7 +32,7 @@ def description(content: Column) -> Column:
 
 def file_type(path: Column) -> Column:
     ext = F.lower(X.extension(path))
-    return F.when(ext != "", F.substring(ext, 2, 1_000)).otherwise("unknown")
+    return F.when(ext != "", ext.substr(F.lit(2), F.length(ext))).otherwise("unknown")
 
 
 def with_metadata(files: DataFrame) -> DataFrame:

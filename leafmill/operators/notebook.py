@@ -2,7 +2,8 @@
 
 The rendering is this package's own small definition: Markdown and raw cells
 verbatim, code cells fenced with the kernel language, text outputs indented by
-four spaces, images as a placeholder line, blocks separated by blank lines.
+four spaces (an output without plain text shows its Markdown, HTML or LaTeX),
+images as a placeholder line, blocks separated by blank lines.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions import jsontext as J
 from leafmill.functions import text as X
 from leafmill.functions.reuse import built_once
 
@@ -46,7 +48,9 @@ def output_text(o: Column) -> Column:
     )
     plain = F.coalesce(multiline(o, "$.text"), multiline(o, "$.data['text/plain']"))
     trace = F.array_join(F.try_variant_get(o, "$.traceback", "array<string>"), "\n")
-    return F.when(kind.isin("error", "pyerr"), trace).when(image.isNotNull(), F.lit(IMAGE_LINE)).otherwise(plain)
+    rich = F.coalesce(*[multiline(o, f"$.data['text/{kind}']") for kind in ("markdown", "html", "latex")])
+    shown = F.when(image.isNotNull(), F.lit(IMAGE_LINE)).otherwise(F.coalesce(plain, rich))
+    return F.when(kind.isin("error", "pyerr"), trace).otherwise(shown)
 
 
 def indent(c: Column) -> Column:
@@ -55,7 +59,7 @@ def indent(c: Column) -> Column:
 
 
 def opened(content: Column) -> Column:
-    return F.from_json(content, NOTEBOOK_DDL)
+    return J.parsed(content, NOTEBOOK_DDL)
 
 
 def cells(nb: Column) -> Column:

@@ -65,7 +65,7 @@ def endpoints(spec: Column) -> Column:
 
 def parameters(details: Column) -> Column:
     """Parameter objects of an endpoint; empty when there are none."""
-    return F.coalesce(F.from_json(details["parameters"], J.OBJECT_LIST), F.array().cast(J.OBJECT_LIST))
+    return F.coalesce(J.parsed(details["parameters"], J.OBJECT_LIST), F.array().cast(J.OBJECT_LIST))
 
 
 def parameter_type(p: Column) -> Column:
@@ -89,7 +89,7 @@ def schema_ref(content_details: Column) -> Column:
 def example_blob(example: Column) -> Column:
     """JSON text of an example's value; a bare string gets its quotes back."""
     value = J.as_object(example)["value"]
-    is_string = F.schema_of_variant(F.from_json(example, "struct<value:variant>")["value"]) == "STRING"
+    is_string = F.schema_of_variant(J.parsed(example, "struct<value:variant>")["value"]) == "STRING"
     quoted = F.to_json(F.array(value))
     return F.when(is_string, quoted.substr(F.lit(2), F.length(quoted) - 2)).otherwise(
         F.coalesce(value, F.lit("null"))
@@ -247,7 +247,7 @@ def _markdown_steps(source: str) -> dict[str, Column]:
     ).otherwise("")
     return {
         "opened": J.as_object(F.col(source)),
-        "checked": F.when(is_convertible(spec), spec),
+        "checked": F.when(F.col("_renderable") & is_convertible(spec), spec),
         "endpoints": F.when(spec.isNotNull(), endpoints(spec)),
         "blobs": _json_blobs(F.col("_endpoints")),
         "markdown": F.when(spec.isNotNull(), text(intro, _models(model_section(spec)), body)),
@@ -258,7 +258,8 @@ def with_api_markdown(files: DataFrame, source: str = "content", target: str = "
     """Add the Markdown of each document, and ``<target>_ok``; NULL and false
     when it cannot be converted."""
     step = _markdown_steps(source)
-    opened = files.withColumn("_spec", step["opened"]).withColumn("_spec", step["checked"])
+    opened = files.withColumn("_renderable", J.facts(F.col(source), [])["renderable"])
+    opened = opened.withColumn("_spec", step["opened"]).withColumn("_spec", step["checked"]).drop("_renderable")
     opened = opened.withColumn("_endpoints", step["endpoints"]).withColumn("_blobs", step["blobs"])
     opened = opened.withColumn("_pretty", J.indented(F.when(F.size("_blobs") > 0, F.col("_blobs"))))
     return opened.withColumns(

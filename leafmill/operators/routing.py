@@ -25,16 +25,14 @@ def route(path: Column, content: Column) -> Column:
     Only ``.json`` rows look at the text.
     """
     ext = F.lower(X.extension(path))
-    json_text = F.when(ext == ".json", content)
+    found = J.facts(F.when(ext == ".json", content), SPEC_ROUTE_KEYS)
     return (
         F.when(ext.isin(DOCUMENT_SUFFIXES), "copy")
         .when(ext == ".py", "python")
         .when(ext == ".ipynb", "notebook")
         .when(
             ext == ".json",
-            F.when(is_api_spec(json_text), "api")
-            .when(J.is_json(json_text), "json")
-            .otherwise("bad_json"),
+            F.when(found["keyed"], "api").when(found["ok"], "json").otherwise("bad_json"),
         )
     )
 

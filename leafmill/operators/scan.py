@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.joins import sized_join
 from leafmill.schema import FALLBACK_CATEGORY, FILE_SUFFIXES, RESERVED_FOLDERS, TARGET_FOLDERS
-
-SALTS = 16
+from leafmill.session import written
 
 
 def exclude_git(files: DataFrame) -> DataFrame:
@@ -37,35 +37,27 @@ def has_target_folder(rel_path: Column) -> Column:
     return F.lower(rel_path).rlike(rf"(?:\A|/)(?:{'|'.join(TARGET_FOLDERS)})/")
 
 
-def assign_categories(files: DataFrame, salts: int = SALTS) -> DataFrame:
+def assign_categories(files: DataFrame) -> DataFrame:
     """One row per (file, category).
 
     A file below target folders appears under each distinct one. A repository
     without any target folder sends everything to ``other``. Whether it has one
     is decided on all its files, wanted suffix or not.
 
-    The repositories with a target folder are found by a pre-aggregated
-    distinct. The files outside target folders are then anti-joined with them on
-    a salted key, because one repository may own most of the rows.
+    The repositories with a target folder are found by a pre-aggregated distinct
+    over slim columns, and written. The files outside target folders are then
+    anti-joined with that table by its measured size, so files that carry text
+    stay where they are.
     """
     tagged = exclude_git(files)
     inside = has_target_folder(F.col("rel_path"))
-    with_target = (
-        tagged.filter(inside)
-        .select("repo_name")
-        .distinct()
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
+    with_target = written(tagged.filter(inside).select("repo_name").distinct(), "targets")
     targeted = select_suffixes(tagged.filter(inside)).withColumn(
         "category", F.explode_outer(target_folders(F.col("rel_path")))
     )
-    fallback = (
-        select_suffixes(tagged.filter(~inside))
-        .withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
-        .join(with_target, ["repo_name", "_salt"], "left_anti")
-        .withColumn("category", F.lit(FALLBACK_CATEGORY))
-    )
-    return targeted.unionByName(fallback.drop("_salt").select(targeted.columns))
+    outside = sized_join(select_suffixes(tagged.filter(~inside)), with_target, ["repo_name"], "left_anti", "path")
+    fallback = outside.withColumn("category", F.lit(FALLBACK_CATEGORY))
+    return targeted.unionByName(fallback.select(targeted.columns))
 
 
 def path_in_category(rel_path: Column, category: Column) -> Column:
@@ -117,32 +109,22 @@ def collisions(converted: DataFrame) -> DataFrame:
     )
 
 
-def collision_losers(converted: DataFrame, salts: int = SALTS) -> DataFrame:
+def collision_losers(converted: DataFrame) -> DataFrame:
     """``dest_path, path`` of every row that gives way to another one.
 
-    The winners of real collisions are joined back on a salted destination, so
+    The winners of real collisions are joined back by their measured number, so
     that one destination shared by very many sources stays spread out.
     """
     slim = converted.select("dest_path", "path")
-    winners = (
-        collisions(slim)
-        .filter("losers > 0")
-        .select("dest_path", F.col("path").alias("_kept"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    return (
-        slim.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
-        .join(winners, ["dest_path", "_salt"])
-        .filter(F.col("path") != F.col("_kept"))
-        .select("dest_path", "path")
-    )
+    winners = collisions(slim).filter("losers > 0").select("dest_path", F.col("path").alias("_kept"))
+    both = sized_join(slim, written(winners, "winners"), ["dest_path"], "inner", "path")
+    return both.filter(F.col("path") != F.col("_kept")).select("dest_path", "path")
 
 
 def drop_collision_losers(converted: DataFrame, losers: DataFrame | None = None) -> DataFrame:
-    """Keep one row per destination. The anti-join key holds the source path, so
-    no key is hot; pass a written ``losers`` table to let Spark see its size."""
-    beaten = collision_losers(converted) if losers is None else losers
-    return converted.join(beaten, ["dest_path", "path"], "left_anti")
+    """Keep one row per destination. ``losers`` is a written table if given."""
+    beaten = written(collision_losers(converted), "losers") if losers is None else losers
+    return sized_join(converted, beaten, ["dest_path", "path"], "left_anti", "path")
 
 
 def existing_outputs(files: DataFrame) -> DataFrame:

@@ -20,8 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.joins import sized_join
+from leafmill.session import written
+
 GROUP = ("repo_name", "category")
-SALTS = 16
 
 
 def order_hash(path: Column, seed: int) -> Column:
@@ -73,20 +75,13 @@ def apply_cuts(
     seed: int = 42,
     group: Sequence[str] = GROUP,
     path: str = "file_path",
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Add ``split``. The join key is salted against hot groups."""
-    salted = cuts.select(*group, "cut_hash", "cut_path").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    """Add ``split``. ``cuts`` is a written table, joined by its measured size."""
+    slim = cuts.select(*group, "cut_hash", "cut_path")
     mine = order_hash(F.col(path), seed)
     before = (mine < F.col("cut_hash")) | ((mine == F.col("cut_hash")) & (F.col(path) <= F.col("cut_path")))
-    return (
-        rows.withColumn("_salt", F.pmod(F.xxhash64(path), F.lit(salts)).cast("int"))
-        .join(salted, [*group, "_salt"])
-        .withColumn("split", F.when(before, "train").otherwise("test"))
-        .drop("_salt", "cut_hash", "cut_path")
-    )
+    both = sized_join(rows, slim, list(group), "inner", path)
+    return both.withColumn("split", F.when(before, "train").otherwise("test")).drop("cut_hash", "cut_path")
 
 
 def stratified_split(
@@ -96,11 +91,21 @@ def stratified_split(
     group: Sequence[str] = GROUP,
     path: str = "file_path",
 ) -> DataFrame:
-    """Cuts and their application in one lazy plan."""
-    cuts = split_cuts(rows, test_ratio, seed, group, path)
+    """Cuts from written slim keys, then one pass over the rows."""
+    keys = written(rows.select(*group, path), "split-keys")
+    cuts = written(split_cuts(keys, test_ratio, seed, group, path), "cuts")
     return apply_cuts(rows, cuts, seed, group, path)
 
 
+def split_by_source(
+    rows: DataFrame, test_ratio: float = 0.2, seed: int = 42, group: Sequence[str] = ("repo_name",), source: str = "path"
+) -> DataFrame:
+    """Split source files, not records: all records made from one file share its split."""
+    keys = written(rows.select(*group, source).distinct(), "split-keys")
+    cuts = written(split_cuts(keys, test_ratio, seed, group, source), "cuts")
+    return apply_cuts(rows, cuts, seed, group, source)
+
+
 def count_by_split(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n_records"))
 

@@ -24,6 +24,7 @@ from leafmill.operators import routing as R
 from leafmill.operators import scan as S
 from leafmill.operators.convert import conversion_errors, convert_files
 from leafmill.operators.corpora import code_generation_corpus, sft_corpus
+from leafmill.operators.joins import sized_join
 from leafmill.operators.metadata import standardise, with_metadata
 from leafmill.operators.split import apply_cuts, split_cuts
 from leafmill.session import written
@@ -50,22 +51,21 @@ def convert_repositories(
 ) -> DataFrame:
     """A files table with text to converted rows, optionally of a catalog only.
 
-    Repositories, categories and paths are settled on slim columns and written;
-    the text is then joined once, on the unique path. Trees on disk should be
-    planned before their text is read, see :func:`read_repositories`; then there
-    is no join at all.
+    All that is needed from elsewhere is two facts per repository (is it wanted,
+    does it have a target folder); both are found on slim columns and joined by
+    measured size. Category and inner path follow from the row, so no text moves.
     """
-    slim = files.select(*SLIM)
     if catalog is not None:
-        slim = choose_repositories(slim, catalog, listing)
-    chosen = written(plan_files(slim).select("path", "category", "rel_in_category"), "plan")
-    return convert_files(files.join(chosen, "path"))
+        slim = choose_repositories(files.select(*SLIM), catalog, listing)
+        repos = written(slim.select("repo_name").distinct(), "repositories")
+        files = sized_join(files, repos, ["repo_name"], "left_semi", "path")
+    return convert_files(plan_files(files))
 
 
 def read_repositories(spark: SparkSession, root: str) -> DataFrame:
     """Tree below ``root`` to converted rows; text is read after the choice, by
     as many tasks as its bytes ask for."""
-    chosen = written(plan_files(list_tree(spark, root)), "plan")
+    chosen = written(plan_files(written(list_tree(spark, root), "manifest")), "plan")
     return convert_files(read_contents(chosen, root, read_tasks(chosen)))
 
 
@@ -85,7 +85,10 @@ def existing_records(files: DataFrame, test_ratio: float = 0.2, seed: int = 42)
     """Records of an already converted tree, read again as it is."""
     found = S.existing_outputs(files).withColumnsRenamed({"path": "file_path", "length": "size"})
     candidates = found.filter(R.is_existing_candidate(F.col("file_path"), F.col("content")))
-    rows = apply_cuts(candidates, split_cuts(candidates, test_ratio, seed), seed)
+    # The text is looked at once to find the candidates' keys, and once to make the records.
+    keys = written(candidates.select("repo_name", "category", "file_path"), "candidates")
+    cuts = written(split_cuts(keys, test_ratio, seed), "cuts")
+    rows = apply_cuts(candidates, cuts, seed)
     return standardise(with_metadata(R.keep_documentation(rows)))
 
 
@@ -131,7 +134,7 @@ def choose_repositories(files: DataFrame, catalog: DataFrame, listing: DataFrame
     entry stands for all repositories of ``listing`` (``organization, name,
     clone_url``). One repository asked for twice is processed once.
     """
-    repositories = C.with_repository(catalog.filter("type <> 'organization'")).select(
+    repositories = C.with_repository(catalog.filter("coalesce(type, 'repository') <> 'organization'")).select(
         F.col("short_name").alias("repo_name")
     )
     if listing is not None:
@@ -141,13 +144,7 @@ def choose_repositories(files: DataFrame, catalog: DataFrame, listing: DataFrame
             .join(organizations.distinct(), "organization", "left_semi")
             .select(F.col("name").alias("repo_name"))
         )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(S.SALTS - 1)))
-    wanted = repositories.distinct().withColumn("_salt", salts)
-    return (
-        files.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(S.SALTS)).cast("int"))
-        .join(wanted, ["repo_name", "_salt"], "left_semi")
-        .select(files.columns)
-    )
+    return sized_join(files, written(repositories.distinct(), "wanted"), ["repo_name"], "left_semi", "path")
 
 
 def build_catalog(

@@ -27,10 +27,10 @@ def write_csv(records: DataFrame, output_dir: str, mode: str = "overwrite") -> N
 
     The text column is never selected, so the scan below does not read it.
     """
-    slim = records.select(*CSV_COLUMNS)
-    flat = slim.withColumn("_split", F.col("split"))
+    records.select(*CSV_COLUMNS).write.mode(mode).options(**CSV_WRITE).csv(f"{output_dir}/metadata.csv")
+    # The per-split folders come from what was written: the records are made once.
+    flat = read_csv(records.sparkSession, output_dir).withColumn("_split", F.col("split"))
     flat.write.mode(mode).options(**CSV_WRITE).partitionBy("_split").csv(f"{output_dir}/csv_by_split")
-    slim.write.mode(mode).options(**CSV_WRITE).csv(f"{output_dir}/metadata.csv")
 
 
 def read_csv(spark: SparkSession, output_dir: str, which: str = "metadata") -> DataFrame:

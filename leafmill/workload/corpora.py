@@ -207,7 +207,7 @@ def file_expand(spark, sf):
 
 @query("column_map", RAW + " SELECT file_path, length(title) AS n_letters FROM records")
 def column_map(spark, sf):
-    return maps.with_columns(raw_records(spark, sf), n_letters="length(title)").select("file_path", "n_letters")
+    return raw_records(spark, sf).withColumn("n_letters", F.length("title")).select("file_path", "n_letters")
 
 
 # --- sinks ------------------------------------------------------------------------------

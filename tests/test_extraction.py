@@ -35,7 +35,7 @@ def test_spec_order_and_unicode(spark):
         "components": {"schemas": {"Z": {}, "A": {"properties": {}}}},
         "definitions": {"ignored": {}},
         "paths": {
-            "/z": {"get": {"responses": {"500": "text", "200": {"description": "d"}}}},
+            "/z": {"get": {"responses": {"500": {}, "200": {"description": "d"}}}},
             "/a": {"head": {}, "patch": {"requestBody": {"content": {"j": {"schema": {"t": "é", "l": [1, {"b": None}]}}, "n": {}}}}},
         },
     }
@@ -49,7 +49,11 @@ def test_spec_order_and_unicode(spark):
 
 
 def test_unusable_specs_give_nothing(spark):
-    for bad in ('{"paths": [1]}', '{"info": "x", "paths": {}}', '{"paths": {"/a": 1}}', '{"paths": {"/a": {"get": "x"}}}', "{bad"):
+    for bad in ('{"paths": [1]}', '{"info": "x", "paths": {}}', '{"paths": {"/a": 1}}', '{"paths": {"/a": {"get": "x"}}}', "{bad", '{"paths": {}, "info": {}} x', "{'paths': {}}", '{"paths": {}, "x": "a\nb"}',
+                *(json.dumps({"paths": {"/a": {"get": d}}}) for d in (
+                    {"responses": {"500": "text"}}, {"responses": {"500": None}}, {"parameters": "x"}, {"parameters": [{"name": "a"}, "x"]},
+                    {"parameters": [{"schema": None}]}, {"requestBody": []}, {"requestBody": {"content": {"j": 1}}}, {"examples": {"e": 1}})),
+                '{"components": {"schemas": {"A": {"properties": {"x": true}}}}}', '{"definitions": {"A": {"properties": {"x": {"type": "array", "items": []}}}}}'):
         assert tuple(api(spark, bad)) == (None, False), bad
 
 

@@ -12,7 +12,7 @@ from leafmill.operators.convert import convert_files
 from leafmill.plans import build as B
 from leafmill.sinks import writers as W
 from leafmill.sources.corpus import load_corpus
-from leafmill.sources.tree import list_tree, read_contents, scan_binary
+from leafmill.sources.tree import list_tree, read_contents
 
 TREE = {
     "alpha/.git/docs/x.md": b"hidden",
@@ -54,7 +54,7 @@ def root(tmp_path_factory):
 
 def test_listing_sees_every_name(spark, root):
     for levels in (0, 1, 3):
-        got = {f"{r.repo_name}/{r.rel_path}": r.length for r in list_tree(spark, root, levels, 3).collect()}
+        got = {f"{r.repo_name}/{r.rel_path}": r.length for r in list_tree(spark, root, levels, 3, skipped=()).collect()}
         assert got == {k: len(v) for k, v in TREE.items()}
 
 
@@ -72,12 +72,9 @@ def test_unreadable_file_is_reported(spark, root):
     assert row.content is None and row.read_error
 
 
-def test_binary_scan_agrees_where_nothing_is_hidden(spark, root):
-    fast = {(r.repo_name, r.rel_path, r.content) for r in scan_binary(spark, root).select("repo_name", "rel_path", "content").collect()}
-    full = {(r.repo_name, r.rel_path, r.content) for r in S.select_suffixes(read_contents(list_tree(spark, root), root)).collect()}
-    assert fast < full
-    unseen = {row for row in full if "/_" in f"/{row[1]}" or "/." in f"/{row[1]}" or row[2] == ""}
-    assert full - fast == unseen
+def test_skipped_folders_are_not_opened(spark, root):
+    plain = {k for k in TREE if "/.git/" not in k}
+    assert {f"{r.repo_name}/{r.rel_path}" for r in list_tree(spark, root).collect()} == plain
 
 
 def assigned(spark, root):
