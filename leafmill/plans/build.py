@@ -27,7 +27,7 @@ from leafmill.operators.corpora import code_generation_corpus, sft_corpus
 from leafmill.operators.joins import sized_join
 from leafmill.operators.metadata import standardise, with_metadata
 from leafmill.operators.split import apply_cuts, split_cuts
-from leafmill.session import written
+from leafmill.session import intermediates, written
 from leafmill.sinks.writers import write_corpus, write_csv
 from leafmill.sources.tree import list_tree, read_contents, read_tasks
 
@@ -111,8 +111,9 @@ def build_from_tree(
     spark: SparkSession, root: str, output_dir: str, test_ratio: float = 0.2, seed: int = 42
 ) -> Corpora:
     """All repositories below ``root`` to written corpora."""
-    converted = written(read_repositories(spark, root), "converted")
-    return save_corpora(records_from_converted(converted, test_ratio, seed), output_dir)
+    with intermediates(spark):
+        converted = written(read_repositories(spark, root), "converted")
+        return save_corpora(records_from_converted(converted, test_ratio, seed), output_dir)
 
 
 def rebuild_existing(
@@ -122,9 +123,10 @@ def rebuild_existing(
 
     Listing, layout and suffix rules come first; only what passes is read.
     """
-    manifest = written(S.existing_outputs(list_tree(spark, tree)).drop("category"), "manifest")
-    files = written(read_contents(manifest, tree, read_tasks(manifest)), "existing")
-    return save_corpora(existing_records(files, test_ratio, seed), output_dir)
+    with intermediates(spark):
+        manifest = written(S.existing_outputs(list_tree(spark, tree)).drop("category"), "manifest")
+        files = written(read_contents(manifest, tree, read_tasks(manifest)), "existing")
+        return save_corpora(existing_records(files, test_ratio, seed), output_dir)
 
 
 def choose_repositories(files: DataFrame, catalog: DataFrame, listing: DataFrame | None = None) -> DataFrame:
@@ -156,8 +158,9 @@ def build_catalog(
     seed: int = 42,
 ) -> Corpora:
     """All configured repositories of a files table to written corpora."""
-    converted = written(convert_repositories(files, catalog, listing), "converted")
-    return save_corpora(records_from_converted(converted, test_ratio, seed), output_dir)
+    with intermediates(files.sparkSession):
+        converted = written(convert_repositories(files, catalog, listing), "converted")
+        return save_corpora(records_from_converted(converted, test_ratio, seed), output_dir)
 
 
 def build_organization(

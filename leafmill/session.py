@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -54,8 +55,24 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_held: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession):
+    """Removes, at the end, all that ``written`` wrote inside; for jobs whose results lie elsewhere."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for path in _held.pop():
+            discard(spark, path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: cuts lineage, survives lost executors, has a size."""
     path = scratch(df.sparkSession, label)
+    if _held:
+        _held[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -220,6 +220,15 @@ def stratified_split_ratios(spark, sf):
     return M.union_records(*parts)
 
 
+@query("stratified_split_by_source", G.ASSIGNED + """, turns AS (
+  SELECT repo_name, path, row_number() OVER (PARTITION BY repo_name ORDER BY md5('42:' || path), path) AS turn,
+    CAST(count(*) OVER (PARTITION BY repo_name) AS DOUBLE) AS n FROM (SELECT DISTINCT repo_name, path FROM assigned))
+  SELECT repo_name, category, path, CASE WHEN turn <= greatest(1, floor(n * (CAST(1.0 AS DOUBLE) - CAST(0.2 AS DOUBLE)))) THEN 'train' ELSE 'test' END AS split
+  FROM assigned JOIN turns USING (repo_name, path)""")
+def stratified_split_by_source(spark, sf):
+    return T.split_by_source(assigned(spark, sf).select("repo_name", "category", "path"))
+
+
 @query("split_order", G.ASSIGNED + " SELECT category, path, md5('42:' || path) AS order_hash FROM assigned")
 def split_order(spark, sf):
     return assigned(spark, sf).select("category", "path", T.order_hash(F.col("path"), 42).alias("order_hash"))

@@ -107,3 +107,12 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session_module.scratch(Cluster(), "x")
+
+
+def test_a_job_removes_what_it_wrote_between(spark):
+    from leafmill.session import intermediates, written
+
+    with intermediates(spark):
+        path = written(spark.range(3), "between").inputFiles()[0]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
