@@ -132,7 +132,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_suffix_dedup")
+@query(
+    "op8_suffix_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+    w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS part
+        FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS p FROM d)),
+    again AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY part ORDER BY doc_id, p) > 1),
+    marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM again),
+    numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+    spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, span),
+    gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+    cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail,
+        string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+        sha256(unhex(coalesce(head || substr(h, 2 * tail + 1), h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+    """,
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -148,6 +164,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op2_ngram_join")
+@query(
+    "op2_ngram_join",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM w),
+    g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b, c FROM reach JOIN links ON a = doc_id)
+    SELECT doc_id, len(grams) AS n_shingles, component_id FROM sets JOIN (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+    """,
+)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped(table(spark, sf_dir, "documents"))
