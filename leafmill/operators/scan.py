@@ -45,19 +45,15 @@ def assign_categories(files: DataFrame) -> DataFrame:
     is decided on all its files, wanted suffix or not.
 
     The repositories with a target folder are found by a pre-aggregated distinct
-    over slim columns, and written. The files outside target folders are then
-    anti-joined with that table by its measured size, so files that carry text
-    stay where they are.
+    over slim columns, and written. All files are then joined with that table by
+    its measured size, in one pass, so files that carry text stay where they are.
     """
     tagged = exclude_git(files)
     inside = has_target_folder(F.col("rel_path"))
-    with_target = written(tagged.filter(inside).select("repo_name").distinct(), "targets")
-    targeted = select_suffixes(tagged.filter(inside)).withColumn(
-        "category", F.explode_outer(target_folders(F.col("rel_path")))
-    )
-    outside = sized_join(select_suffixes(tagged.filter(~inside)), with_target, ["repo_name"], "left_anti", "path")
-    fallback = outside.withColumn("category", F.lit(FALLBACK_CATEGORY))
-    return targeted.unionByName(fallback.select(targeted.columns))
+    with_target = written(tagged.filter(inside).select("repo_name").distinct(), "targets").withColumn("_has", F.lit(True))
+    flagged = sized_join(select_suffixes(tagged), with_target, ["repo_name"], "left", "path")
+    categories = F.when(inside, target_folders(F.col("rel_path"))).when(F.col("_has").isNull(), F.array(F.lit(FALLBACK_CATEGORY)))
+    return flagged.withColumn("category", F.explode(categories)).select(*files.columns, "category")
 
 
 def path_in_category(rel_path: Column, category: Column) -> Column:
