@@ -43,7 +43,7 @@ from leafmill.llm import texts as X
 from leafmill.session import written
 
 #: Bytes of a window and of its first digit; window starts that a task handles at once.
-WINDOW, DIGIT, AT_ONCE = 100, 32, 1 << 21
+WINDOW, DIGIT, AT_ONCE = 100, 40, 1 << 21
 _FACTOR = 0x9E3779B97F4A7C15
 LOWEST = -(1 << 63)
 
@@ -66,6 +66,33 @@ def _doubled(raw: np.ndarray, most: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _hashes(z: dict[int, np.ndarray], size: int) -> np.ndarray:
+    """Hashes of all substrings of ``size`` bytes, put together from those of powers of two."""
+    parts, at = [p for p in sorted(z, reverse=True) if p & size], 0
+    count = len(z[1]) - size + 1
+    out = np.zeros(count, np.uint64)
+    for p in parts:
+        out = _mixed(out * np.uint64(_FACTOR) + z[p][at : at + count])
+        at += p
+    return out
+
+
+def earlier(keys: list[np.ndarray], place: list[np.ndarray]) -> np.ndarray:
+    """Rows for which a row of the same keys has a smaller place; rows of one place do not count."""
+    order = np.lexsort([*place[::-1], *keys[::-1]])
+    same = np.ones(len(order), bool)
+    for k in keys:
+        same[1:] &= k[order][1:] == k[order][:-1]
+    same[:1] = False
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    other = np.zeros(len(order), bool)
+    for p in place:
+        other |= p[order] != p[order][first]
+    out = np.zeros(len(order), bool)
+    out[order] = same & other
+    return out
+
+
 def _sliding(values: np.ndarray, width: int, least) -> np.ndarray:
     size, out = 1, values
     while size * 2 <= width:
@@ -78,7 +105,7 @@ def _sliding(values: np.ndarray, width: int, least) -> np.ndarray:
 def first_digits(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First digits of the windows at ``starts``, as runs: the digit, the first and the last start."""
     width = WINDOW - DIGIT + 1
-    h = _doubled(raw, DIGIT)[DIGIT]
+    h = _hashes(_doubled(raw, 1 << (DIGIT.bit_length() - 1)), DIGIT)
     least = _sliding(h, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
     anchors = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), width, np.maximum) == h)
@@ -126,23 +153,27 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def runs(keyed_docs: DataFrame) -> DataFrame:
     """One row per run of windows with one first digit: ``digit``, ``span``, ``doc``, ``sub``, ``run``.
 
-    ``run`` is the first start, times 128, plus the number of starts that follow.
+    ``run`` is the first start, times 128, plus the number of starts that follow. Runs
+    that a batch already shows to repeat an earlier one of it are settled: they get
+    ``-1 - run`` and need not meet their group, so a group of copies sends one row a batch.
     """
 
     def found(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts, parts = batch.column(2).to_pylist(), []
             for raw, starts, whose, shift in _pieces(texts):
                 digit, first, last = first_digits(np.frombuffer(raw, np.uint8), starts)
                 at = np.searchsorted(starts, first)
                 spans = [xxhash.xxh3_64_intdigest(raw[a : b + WINDOW]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                own = pa.array(whose[at])
-                yield pa.RecordBatch.from_arrays(
-                    [signed(digit), signed(np.array(spans, np.uint64)), batch.column(0).take(own), batch.column(1).take(own),
-                     pa.array((first + shift[at]) * 128 + (last - first))],
-                    names=["digit", "span", "doc", "sub", "run"],
-                )
+                parts.append((digit, np.array(spans, np.uint64), whose[at], (first + shift[at]) * 128 + (last - first)))
+            if not parts:
+                continue
+            digit, span, own, run = (np.concatenate(c) for c in zip(*parts, strict=True))
+            doc, sub = batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own]
+            run = np.where(earlier([digit, span], [doc, sub, run]), -1 - run, run)
+            yield pa.RecordBatch.from_arrays([signed(digit), signed(span), pa.array(doc), pa.array(sub), pa.array(run)], names=names)
 
+    names = ["digit", "span", "doc", "sub", "run"]
     return keyed_docs.mapInArrow(found, "digit long, span long, doc long, sub int, run long")
 
 
@@ -159,6 +190,12 @@ def sorted_runs(rows: DataFrame) -> DataFrame:
         pending = None  # the first run of a group of one span so far: it is in question once another span comes
         for batch in batches:
             digit, span, doc, sub, run = _columns(batch)
+            settled = run < 0
+            if settled.any():
+                out = np.flatnonzero(settled)
+                columns = (doc[out], sub[out], -1 - run[out], digit[out], np.ones(len(out), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                digit, span, doc, sub, run = (c[~settled] for c in (digit, span, doc, sub, run))
             if not len(digit):
                 continue
             before = held or (~int(digit[0]), 0, 0, 0, 0)
@@ -184,7 +221,10 @@ def sorted_runs(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (doc, sub, run, digit)] + [pa.array(again[out])], names=names)
 
     names = ["doc", "sub", "run", "digit", "again"]
-    dealt = rows.repartition("digit").sortWithinPartitions(*order)
+    # Settled runs go anywhere; sorted last, they do not come between the others.
+    settled = F.col("run") < 0
+    spread = F.when(settled, F.xxhash64("doc", "run")).otherwise(F.col("digit"))
+    dealt = rows.repartition(spread).sortWithinPartitions(settled, *order)
     return dealt.mapInArrow(split, "doc long, sub int, run long, digit long, again boolean")
 
 
@@ -204,18 +244,16 @@ def windows(asked: DataFrame, keyed_docs: DataFrame) -> DataFrame:
                     if not len(here):
                         continue
                     part = np.frombuffer(raw[begin : begin + AT_ONCE + WINDOW - 1], np.uint8)
-                    z = _doubled(part, 64)
+                    h = _hashes(_doubled(part, 64), WINDOW)
                     count = more[here] + 1
                     start = np.repeat(first[here] - np.cumsum(count) + count, count) + np.arange(count.sum())
                     which = np.repeat(digit[here], count)
                     inside = (start >= begin) & (start < begin + AT_ONCE)
                     start, which = start[inside], which[inside]
                     at = start - begin
-                    h = _mixed(z[64][at] * np.uint64(_FACTOR) + z[32][at + 64])
-                    h = _mixed(h * np.uint64(_FACTOR) + z[4][at + 96])
                     size = pa.array(np.full(len(at), n))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(which), signed(h), batch.column(0).take(size), batch.column(1).take(size), pa.array(start)],
+                        [pa.array(which), signed(h[at]), batch.column(0).take(size), batch.column(1).take(size), pa.array(start)],
                         names=["digit", "window", "doc", "sub", "start"],
                     )
 
