@@ -5,8 +5,9 @@ their sets' Jaccard similarity is ``PERCENT`` of a hundred or more. Sets are ord
 globally: n-grams that a first pass saw often last, the others by hash before them. (Any
 order gives the same links; this one keeps common passages out of the prefixes.)
 
-Documents of equal sets are one class, told by 128 bits of hash. Linked sets share an
-n-gram among the first ``n - ceil(0.75 n) + 1`` of both, so candidates meet by those:
+Documents of equal sets are one class, told by 128 bits of hash. Linked sets share k
+n-grams among the first ``n - ceil(0.75 n) + k`` of both (k is ``least_shared``, of the
+shorter one), so candidates meet by those:
 sorted rows of (n-gram, class) stream through the tasks, and n-grams of one class drop
 out. Then, in rounds, every class is compared with one class of each of its n-grams'
 groups, and classes found linked become one component; groups inside one component are
@@ -14,8 +15,10 @@ settled. In the last round all pairs that lie in different components still are
 in blocks. So a group of thousands of near copies takes some rows a member, not a row a
 pair, and no link that joins two components can be missed.
 
-Before sets are fetched, a pair must pass two exact tests: its lengths, and the bits in
-which its parity maps differ, which are at most the n-grams in which the sets do.
+Before sets are fetched, a pair must pass exact tests: its lengths, and the bits in which
+its parity maps differ, which are at most the n-grams in which the sets do; first in maps
+of 256 bits, then in maps of about a bit an n-gram. Only sets of the pairs that remain
+are made.
 Candidates of one class are compared in blocks: the block's sets form a prefix tree, so
 sets with the same beginning share its overlap, and a branch is left as soon as overlap
 plus what remains cannot reach what its shortest set would need.
@@ -44,7 +47,9 @@ SHINGLE, PERCENT = 5, 75
 #: (8 MB). Only the order, and so the work, depends on them.
 COMMON, MOST_COMMON = 32, 1 << 20
 #: N-grams a task counts at once, sets of a tree, classes of a block, rounds before the last.
-AT_ONCE, TREE_SETS, BLOCK, ROUNDS = 1 << 22, 256, 1024, 2
+AT_ONCE, TREE_SETS, BLOCK, ROUNDS = 1 << 20, 256, 1024, 2
+#: Bytes of text whose words a task holds at once (a longer single text is held alone).
+PORTION = 2 << 20
 HIGHEST = (1 << 63) - 1
 MAP_WORDS = 4
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -58,6 +63,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def portions(batches):
+    """Batches of (document, text) in pieces of bounded text, so that memory follows a piece."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // PORTION
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            # A copy: splitting words goes wrong on texts that begin inside their buffer.
+            yield batch.take(pa.array(np.arange(a, b)))
+
+
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """Per text its distinct shingles, as sorted 63-bit hashes."""
     lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -92,8 +108,13 @@ def ordered(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate((own[~often], own[often] | np.uint64(1 << 63)))
 
 
+def least_shared(n):
+    """N-grams that a linked set of ``n`` must share in the prefixes: more for longer sets, which share some by chance."""
+    return 1 + n // 50
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1 if n else 0
+    return n - -(-PERCENT * n // 100) + least_shared(n) if n else 0
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -101,11 +122,22 @@ def linked(overlap: int, a: int, b: int) -> bool:
 
 
 def parity_map(own: np.ndarray) -> np.ndarray:
-    """Bits of which each n-gram flips one: two maps differ in at most as many bits as their sets in n-grams."""
-    bits = np.bincount((_mixed(own & np.uint64((1 << 63) - 1)) % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    """Bits of which each n-gram flips one: two maps differ in at most as many bits as their sets in n-grams.
+
+    A power of two of words, with about a bit an n-gram, so that long sets tell apart too.
+    """
+    size = 64 * MAP_WORDS
+    while size < len(own):
+        size *= 2
+    bits = np.bincount((_mixed(own) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The map that the same set has in ``size`` words."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(HIGHEST)).alias("doc"), F.col(text_col).alias("text"))
 
@@ -121,15 +153,16 @@ def surveyed(texts: DataFrame) -> DataFrame:
             grams, seen = grams[seen >= 4], seen[seen >= 4]
             empty = pa.nulls(len(grams), pa.int64())
             columns = [pa.nulls(len(grams), pa.int64()), pa.array(seen.astype(np.int64)), signed(grams), empty]
-            return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(grams), pa.list_(pa.int64()))], names=names)
+            return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(grams), pa.list_(pa.int64())), pa.nulls(len(grams), pa.binary())], names=names)
 
-        for batch in batches:
+        for batch in portions(batches):
             sets = shingle_sets(batch.column(1))
+            maps = [parity_map(s) for s in sets]
             wide = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), signed(np.array([w >> 64 for w in wide], np.uint64)),
                  signed(np.array([w & (1 << 64) - 1 for w in wide], np.uint64)),
-                 pa.array([parity_map(s).view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))],
+                 pa.array([folded(m, MAP_WORDS).view(np.int64) for m in maps], pa.list_(pa.int64())), pa.array([m.tobytes() for m in maps], pa.binary())],
                 names=names,
             )
             for s in sets:
@@ -141,8 +174,8 @@ def surveyed(texts: DataFrame) -> DataFrame:
         if held:
             yield often(held)
 
-    names = ["doc", "n", "h", "h2", "map"]
-    return texts.mapInArrow(found, "doc long, n long, h long, h2 long, map array<long>")
+    names = ["doc", "n", "h", "h2", "map", "fine"]
+    return texts.mapInArrow(found, "doc long, n long, h long, h2 long, map array<long>, fine binary")
 
 
 def common_ngrams(survey: DataFrame) -> np.ndarray:
@@ -155,7 +188,7 @@ def prefixes(texts: DataFrame, common) -> DataFrame:
     """Per document the first n-grams of its ordered set: ``doc``, ``n``, ``first``."""
 
     def found(batches):
-        for batch in batches:
+        for batch in portions(batches):
             sets = [ordered(s, common.value) for s in shingle_sets(batch.column(1))]
             first = [s[: prefix_length(len(s))] for s in sets]
             values = pa.array(np.concatenate([*first, np.empty(0, np.uint64)]).view(np.int64))
@@ -201,6 +234,24 @@ def may_link(a: str, b: str, a_map: str, b_map: str):
     return lengths & (differ * (100 + PERCENT) <= (F.col(a) + F.col(b)) * (100 - PERCENT))
 
 
+def sharpened(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """The pairs whose whole parity maps still allow a link; ``fine`` has ``doc``, ``n``, ``fine``."""
+
+    @F.arrow_udf("boolean")
+    def allowed(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
+        out = []
+        for x, y, total in zip(a.to_pylist(), b.to_pylist(), n.to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            size = min(len(x), len(y))
+            differ = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+            out.append(differ * (100 + PERCENT) <= total * (100 - PERCENT))
+        return pa.array(out, pa.bool_())
+
+    both = pairs.join(fine.select(F.col("doc").alias("a"), F.col("n").alias("a_n"), F.col("fine").alias("a_fine")), "a")
+    both = both.join(fine.select(F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("fine").alias("b_fine")), "b")
+    return both.filter(allowed("a_fine", "b_fine", F.col("a_n") + F.col("b_n"))).select("a", "b")
+
+
 class Tree:
     """A prefix tree of ordered sets; a node holds a run of n-grams, its sets' ends, and length bounds."""
 
@@ -284,11 +335,12 @@ def ordered_sets(texts: DataFrame, wanted: DataFrame, common) -> DataFrame:
     """The ordered sets of the wanted classes, one row each: ``doc``, ``own`` as bytes."""
 
     def found(batches):
-        for batch in batches:
+        for batch in portions(batches):
             sets = [ordered(s, common.value).astype("<u8").tobytes() for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "own"])
 
-    return texts.join(wanted, "doc", "left_semi").mapInArrow(found, "doc long, own binary").dropDuplicates(["doc"])
+    once = texts.join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
+    return once.mapInArrow(found, "doc long, own binary")
 
 
 def star_pairs(groups: DataFrame, round_no: int) -> DataFrame:
@@ -305,7 +357,10 @@ def star_pairs(groups: DataFrame, round_no: int) -> DataFrame:
 
 
 def block_pairs(groups: DataFrame) -> DataFrame:
-    """All pairs of classes that share an n-gram, lie in different components and may link.
+    """All pairs of classes that share enough n-grams, lie in different components and may link.
+
+    Every n-gram that two classes of different components share is in an unsettled group,
+    so the count of their meetings is whole.
 
     A group of more than ``BLOCK`` classes is cut into blocks by hash, and each pair of
     its blocks is a task's unit, so no group is ever in one place.
@@ -315,38 +370,58 @@ def block_pairs(groups: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "label", "n", "map")
 
-    def found(batches):
-        key, rows = None, []
-
-        def pairs():
-            own, doc, label, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
-            maps = np.array([r[4] for r in rows], np.int64).view(np.uint64)
-            left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-            for at in range(0, len(left), 64):
-                x = left[at : at + 64, None]
-                y = right[None, :]
-                ok = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * PERCENT)
-                if key[1] == key[2]:
-                    ok &= x < y
-                p, q = np.nonzero(ok)
-                p, q = x[p, 0], right[q]
-                differ = np.bitwise_count(maps[p] ^ maps[q]).sum(1).astype(np.int64)
-                near = differ * (100 + PERCENT) <= (n[p] + n[q]) * (100 - PERCENT)
-                p, q = p[near], q[near]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(doc[p], doc[q])), pa.array(np.minimum(doc[p], doc[q]))], names=["a", "b"])
+    def near(p, q, doc, label, n, maps):
+        ok = (label[p] != label[q]) & (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * PERCENT)
+        p, q = p[ok], q[ok]
+        differ = np.bitwise_count(maps[p] ^ maps[q]).sum(1).astype(np.int64)
+        ok = differ * (100 + PERCENT) <= (n[p].astype(np.int64) + n[q]) * (100 - PERCENT)
+        need = least_shared(np.minimum(n[p[ok]], n[q[ok]]).astype(np.int64))
+        p, q = doc[p[ok]], doc[q[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(need)], names=["a", "b", "need"])
+
+    def pairs(key, own, doc, label, n, maps):
+        """All rows of whole groups; ``key`` tells the groups apart."""
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        # Few rows a group: the partners at each distance, for all groups at once.
+        rest = np.repeat(size, size) - (np.arange(len(key)) - np.repeat(first, size))
+        small = np.repeat((size <= 32) & (own[0][first] == own[1][first]), size)
+        for step in range(1, 32):
+            at = np.flatnonzero(small & (rest > step))
+            if not len(at):
+                break
+            yield near(at, at + step, doc, label, n, maps)
+        for a, count in zip(first.tolist(), size.tolist(), strict=True):
+            if small[a]:
+                continue
+            rows = np.arange(a, a + count)
+            left, right = rows[own[2][rows] == own[0][a]], rows[own[2][rows] == own[1][a]]
+            for at in range(0, len(left), 256):
+                p, q = (x.ravel() for x in np.meshgrid(left[at : at + 256], right, indexing="ij"))
+                own_block = own[0][a] == own[1][a]
+                yield near(p[p < q], q[p < q], doc, label, n, maps) if own_block else near(p, q, doc, label, n, maps)
 
+    def found(batches):
+        held = None
         for batch in batches:
-            for gram, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (gram, i, j) != key:
-                    if len(rows) > 1:
-                        yield from pairs()
-                    key, rows = (gram, i, j), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield from pairs()
+            if not batch.num_rows:
+                continue
+            gram, i, j, mine, doc, label, n = (batch.column(c).to_numpy() for c in range(7))
+            maps = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, MAP_WORDS)
+            new = [np.stack((gram, i, j), 1), i, j, mine, doc, label, n, maps]
+            if held is not None:
+                new = [np.concatenate(c) for c in zip(held, new, strict=True)]
+            key = np.concatenate(([0], np.cumsum((new[0][1:] != new[0][:-1]).any(1))))
+            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
+            held = [c[cut:] for c in new]
+            if cut:
+                yield from pairs(key[:cut], [c[:cut] for c in new[1:4]], *(c[:cut] for c in new[4:]))
+        if held is not None:
+            yield from pairs(np.zeros(len(held[0]), np.int64), held[1:4], *held[4:])
 
     sorted_ = dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    return sorted_.mapInArrow(found, "a long, b long").distinct()
+    met = sorted_.mapInArrow(found, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count("*").alias("met"))
+    return met.filter("met >= need").select("a", "b")
 
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -367,21 +442,24 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     common = spark.sparkContext.broadcast(common_ngrams(survey))  # at most MOST_COMMON numbers
     per_doc = survey.filter("doc IS NOT NULL")
     classes = per_doc.filter("n > 0").groupBy("n", "h", "h2").agg(F.min("doc").alias("class"))
-    named = written(per_doc.join(classes, ["n", "h", "h2"], "left").select("doc", "n", "class", "map"), "ngram-classes")
+    named = written(per_doc.join(classes, ["n", "h", "h2"], "left").select("doc", "n", "class", "map", "fine"), "ngram-classes")
     nodes = named.filter("doc = class").select("doc", F.col("doc").alias("label"), F.col("n").cast("int").alias("n"), "map").dropDuplicates(["doc"])
     first = prefixes(texts, common).join(nodes.select("doc"), "doc", "left_semi")
     rows = first.select(F.explode("first").alias("gram"), "doc", "n")
     shared = written(shared_ngrams(rows), "ngram-shared")
     released(spark)
     nodes = written(nodes.join(shared.select("doc").distinct(), "doc", "left_semi"), "ngram-nodes")
-    sets = written(ordered_sets(texts, nodes.select("doc"), common), "ngram-sets")
-    released(spark)
+    fine = named.filter("doc = class").select("doc", "n", "fine").dropDuplicates(["doc"])
     for round_no in range(ROUNDS + 1):
         held = shared.select("gram", "doc").join(nodes, "doc")
         open_ = held.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         groups = held.join(open_.select("gram"), "gram", "left_semi")
         pairs = block_pairs(groups) if round_no == ROUNDS else star_pairs(groups, round_no)
-        links = written(compared(written(pairs, "ngram-pairs"), sets), "ngram-links")
+        pairs = written(sharpened(written(pairs, "ngram-candidates"), fine), "ngram-pairs")
+        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        sets = written(ordered_sets(texts, wanted, common), "ngram-sets")
+        released(spark)
+        links = written(compared(pairs, sets), "ngram-links")
         released(spark)
         nodes = written(labelled(nodes, links), "ngram-nodes")
     out = named.join(nodes.select(F.col("doc").alias("class"), "label"), "class", "left")

@@ -101,6 +101,16 @@ def test_shingle_sizes_follow_the_rule():
     assert [len(s) for s in ngram_join.shingle_sets(pa.array(texts))] == [len(shingles(t)) for t in texts]
 
 
+def test_portions_change_nothing(monkeypatch):
+    monkeypatch.setattr(ngram_join, "PORTION", 40)
+    texts = pa.array([t for _, t in AWKWARD] * 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["doc", "text"])
+    parts = list(ngram_join.portions([batch, batch.slice(4, 9)]))
+    got = [len(s) for p in parts for s in ngram_join.shingle_sets(p.column(1))]
+    whole = [len(shingles(t)) for t in texts.to_pylist()]
+    assert len(parts) > 5 and got == whole + whole[4:13]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (101, 50), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
