@@ -6,7 +6,7 @@ document frequency and scaled to length one. Each language has a few centroids,
 by spherical k-means over its training texts; a text belongs to the language of the
 centroid with the largest cosine, which is its score. A text farther from every centroid
 than its language allows is rejected: the limit is a share of the cosine that nearly
-all of the language's training texts reach.
+all of the language's training texts reach, lower for very short texts.
 
 Training takes a bounded sample: ``PER_LANGUAGE`` texts of each language in expectation,
 picked by a hash of the id. Sampling, counting and clustering run in tasks; the driver
@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the fit: training texts per language, centroids per language, vector length.
-PER_LANGUAGE, CENTROIDS, DIMENSIONS = 600, 4, 4096
-#: A text is rejected below this share of the cosine that 99 of 100 training texts reach.
-LENIENCY = 0.5
+PER_LANGUAGE, CENTROIDS, DIMENSIONS = 600, 4, 8192
+#: A text is rejected below this share of the cosine that 99 of 100 training texts reach;
+#: texts of fewer n-grams than this are too short to tell, and their limit falls in proportion.
+LENIENCY, EVIDENCE = 0.2, 200
 UNDETERMINED = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -91,9 +92,13 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     """Learns from ``rows``; rows without a language or a letter are left out. None: nothing to learn."""
     usable = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    # One number per language, as the model itself has some per language; texts stay where they are.
+    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not sizes:
+        return None
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, PER_LANGUAGE / n))])
     chance = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.join(sizes, "lang").filter(chance < PER_LANGUAGE / F.col("n")).select("lang", "text", "id")
+    sample = usable.filter(chance < share[F.col("lang")])
     sample = sample.repartition("lang", F.pmod(F.xxhash64("id"), F.lit(8)))
 
     def frequencies(batches):
@@ -111,7 +116,7 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     n, seen = sum(r.n for r in found), np.sum([r.seen for r in found], axis=0)
     weights = np.log((1 + n) / (1 + seen)) + 0.05
 
-    def centres(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def centres(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "text"])
         model = Model(weights, np.empty(0), [], np.empty(0))
         vectors = model.vectors(np.stack([counts(t) for t in rows["text"]]))
@@ -138,7 +143,8 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text") ->
             own = [t if ok else None for t, ok in zip(texts[begin : begin + 256].to_pylist(), lettered[begin : begin + 256], strict=True)]
             known = [counts(t) for t in own if t is not None] if model else []
             if known:
-                cosine = model.vectors(np.stack(known)) @ model.centroids.T
+                # Rounded, as sums of a product depend in their last digits on a row's place in it.
+                cosine = (model.vectors(np.stack(known)) @ model.centroids.T).round(9)
                 best = cosine.argmax(1)
             at = 0
             for t in own:
@@ -146,7 +152,7 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text") ->
                     rows.append({"lang_pred": UNDETERMINED, "score": 0.0, "rejected": True})
                     continue
                 score = float(min(1.0, max(0.0, cosine[at, best[at]])))
-                rows.append({"lang_pred": model.languages[best[at]], "score": score, "rejected": bool(score < model.limits[best[at]])})
+                rows.append({"lang_pred": model.languages[best[at]], "score": score, "rejected": bool(score < model.limits[best[at]] * min(1.0, known[at].sum() / EVIDENCE))})
                 at += 1
         return pa.array(rows, kind)
 
