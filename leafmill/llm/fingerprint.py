@@ -13,8 +13,9 @@ their anchors' Jaccard similarity), where a common anchor counts if its two plac
 differ by the median shift of all common ones, give or take ``SLACK`` words.
 
 Defined results: null is the empty text, whose fingerprint is empty; two empty
-fingerprints have likeness 1, an empty and another 0. A text of fewer than ``KMER`` words
-has one anchor, its whole sequence. Equal texts have equal fingerprints.
+fingerprints have likeness 1, an empty and another 0. A text with words but no chosen
+k-mer (always below ``KMER`` words, at times up to two more) has one anchor, its whole
+sequence. Equal texts have equal fingerprints.
 
 For the neighbour in order of ids, documents are dealt to equal ranges of ids (ids are
 taken to fill their range about evenly; uneven ids make uneven tasks, not other
@@ -68,7 +69,8 @@ def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
         words = [F.get("_h", i - 1 + j) for j in range(KMER)]
         return F.shiftleft(F.xxhash64(*words).bitwiseAND(F.lit(0x7FFFFFFF)), 32) + i
 
-    out = out.withColumn("_a", F.when(F.size("_words") < KMER, short).otherwise(F.sort_array(F.transform(edge, anchor))))
+    out = out.withColumn("_a", F.when(F.size("_words") >= KMER, F.sort_array(F.transform(edge, anchor))))
+    out = out.withColumn("_a", F.when(F.size(F.coalesce("_a", F.array().cast("array<bigint>"))) == 0, short).otherwise(F.col("_a")))
     first = F.filter("_a", lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get("_a", i - 1), 32)))
     return out.withColumn(name, F.slice(first, 1, SKETCH)).drop("_words", "_h", "_s", *[f"_m{i + 1}" for i in range(step)], "_a")
 

@@ -171,3 +171,12 @@ def test_anchors_are_closed_syncmers_and_ignore_what_is_around(docs):
     inside, around = ({(x >> 32, x & 0xFFFFFFFF) for x in r.fp} for r in got)
     assert {(h, p + 3) for h, p in inside} <= around
     assert 10 < len(inside) < 50
+
+
+def test_every_text_with_words_has_an_anchor(docs):
+    """Texts of five or six words may have no syncmer at all."""
+    rows = [(100 * n + i, " ".join(f"v{n}_{i}_{j}" for j in range(n))) for n in range(1, 9) for i in range(24)]
+    got = fingerprint.compared(docs(rows)).collect()
+    assert len(got) == len(rows) and all(r.fp for r in got)
+    assert len({tuple(r.fp) for r in got}) == len(rows)
+    assert all(r.near_next == 0.0 for r in got)
