@@ -5,8 +5,12 @@ blanks and punctuation folded to one space), weighted by log frequency times inv
 document frequency and scaled to length one. Each language has a few centroids, found
 by spherical k-means over its training texts; a text belongs to the language of the
 centroid with the largest cosine, which is its score. A text farther from every centroid
-than its language allows is rejected: the limit is a share of the cosine that nearly
-all of the language's training texts reach, lower for very short texts.
+than its language allows is rejected. The cosine of any text grows with the places its
+n-grams fill, so a language has a limit for each band (doubling) of filled places, a share
+of the cosine that nearly all of its training texts, whole and cut short, reach there from
+centroids of which they were no part. A band of too few texts takes the limit of the next
+lower band, below the lowest one in proportion to the places; a language of too few texts
+the lowest limits of the others, and without any nothing is rejected for its distance.
 
 Training takes a bounded sample: ``PER_LANGUAGE`` texts of each language in expectation,
 picked by a hash of the id. Sampling, counting and clustering run in tasks; the driver
@@ -31,9 +35,10 @@ from pyspark.sql import functions as F
 
 #: Bounds of the fit: training texts per language, centroids per language, vector length.
 PER_LANGUAGE, CENTROIDS, DIMENSIONS = 600, 4, 8192
-#: A text is rejected below this share of the cosine that 99 of 100 training texts reach;
-#: texts of fewer n-grams than this are too short to tell, and their limit falls in proportion.
-LENIENCY, EVIDENCE = 0.2, 200
+#: A text is rejected below this share of the cosine that 99 of 100 training texts of its band reach;
+#: training texts are also cut to these lengths, and a band needs so many of them.
+LENIENCY, CUTS, EVIDENCE = 0.7, (20, 50, 120, 300, 800, 2000, None), 12
+BANDS = DIMENSIONS.bit_length()
 UNDETERMINED = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -61,7 +66,7 @@ def counts(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``weights`` are inverse document frequencies; a centroid's row has its language and limit."""
+    """``weights`` are inverse document frequencies; a centroid's row has its language and limits by band."""
 
     weights: np.ndarray
     centroids: np.ndarray
@@ -88,6 +93,38 @@ def _means(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def bands(counted: np.ndarray) -> np.ndarray:
+    """The doubling in which the number of filled places lies."""
+    return np.log2(np.maximum(1, np.count_nonzero(counted, axis=-1))).astype(np.int64)
+
+
+def _limits(texts: list[str], vectors: np.ndarray, model: Model) -> list[float]:
+    """Per band what share of the low cosine of its texts they must reach; NaN where too few tell."""
+    out = np.full(BANDS, np.nan)
+    if len(texts) < 2 * EVIDENCE:
+        return out.tolist()
+    halves = [_means(vectors[1 - i :: 2], CENTROIDS) for i in range(2)]
+    band, near = [], []
+    for cut in CUTS:
+        # One length at a time, so that as many vectors are held as for the whole texts.
+        at = [i for i, t in enumerate(texts) if cut is None or len(t) > cut]
+        for i in range(2):
+            own = [texts[j][:cut] for j in at if j % 2 == i]
+            if own:
+                counted = np.stack([counts(t) for t in own])
+                band.append(bands(counted))
+                near.append((model.vectors(counted) @ halves[i].T).max(1))
+    band, near = np.concatenate(band), np.concatenate(near)
+    known = [b for b in range(BANDS) if (band == b).sum() >= EVIDENCE]
+    for b in known:
+        out[b] = LENIENCY * np.quantile(near[band == b], 0.01)
+    for b in range(known[0] if known else 0):
+        out[b] = out[known[0]] / 2 ** (known[0] - b)
+    for b in range(known[0] if known else BANDS, BANDS):
+        out[b] = out[b - 1] if np.isnan(out[b]) else out[b]
+    return out.tolist()
+
+
 def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model | None:
     """Learns from ``rows``; rows without a language or a letter are left out. None: nothing to learn."""
     usable = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
@@ -121,13 +158,16 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         model = Model(weights, np.empty(0), [], np.empty(0))
         vectors = model.vectors(np.stack([counts(t) for t in rows["text"]]))
         means = _means(vectors, CENTROIDS)
-        limit = LENIENCY * float(np.quantile((vectors @ means.T).max(1), 0.01))
-        return pd.DataFrame({"lang": key[0], "mean": [json.dumps([round(x, 7) for x in m]) for m in means.tolist()], "at": limit})
+        limits = _limits(rows["text"].tolist(), vectors, model)
+        return pd.DataFrame({"lang": key[0], "mean": [json.dumps([round(x, 7) for x in m]) for m in means.tolist()], "at": [limits] * len(means)})
 
     # One group is at most the bounded sample of one language.
-    made = sample.groupBy("lang").applyInPandas(centres, "lang string, mean string, at double").collect()
+    made = sample.groupBy("lang").applyInPandas(centres, "lang string, mean string, at array<double>").collect()
     made = sorted(made, key=lambda r: (r.lang, r.mean))
-    return Model(weights, np.array([json.loads(r.mean) for r in made]), [r.lang for r in made], np.array([r["at"] for r in made]))
+    limits = np.array([r["at"] for r in made], np.float64)
+    lowest = np.where(np.isnan(limits), np.inf, limits).min(0)
+    limits = np.where(np.isnan(limits), np.where(np.isinf(lowest), 0.0, lowest), limits)
+    return Model(weights, np.array([json.loads(r.mean) for r in made]), [r.lang for r in made], limits)
 
 
 def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -144,15 +184,17 @@ def identified(docs: DataFrame, model: Model | None, text_col: str = "text") ->
             known = [counts(t) for t in own if t is not None] if model else []
             if known:
                 # Rounded, as sums of a product depend in their last digits on a row's place in it.
-                cosine = (model.vectors(np.stack(known)) @ model.centroids.T).round(9)
+                counted = np.stack(known)
+                cosine = (model.vectors(counted) @ model.centroids.T).round(9)
                 best = cosine.argmax(1)
+                limit = model.limits[best, bands(counted)]
             at = 0
             for t in own:
                 if t is None or not model:
                     rows.append({"lang_pred": UNDETERMINED, "score": 0.0, "rejected": True})
                     continue
                 score = float(min(1.0, max(0.0, cosine[at, best[at]])))
-                rows.append({"lang_pred": model.languages[best[at]], "score": score, "rejected": bool(score < model.limits[best[at]] * min(1.0, known[at].sum() / EVIDENCE))})
+                rows.append({"lang_pred": model.languages[best[at]], "score": score, "rejected": bool(score < limit[at])})
                 at += 1
         return pa.array(rows, kind)
 

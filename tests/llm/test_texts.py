@@ -118,6 +118,25 @@ def test_language(spark, docs):
     assert language.identified(docs([]), model).count() == 0
 
 
+def test_language_rejects_varied_foreign_texts_of_all_lengths(spark, docs):
+    rnd = random.Random(8)
+    letters = {"cyrillic": map(chr, range(0x430, 0x450)), "greek": map(chr, range(0x3B1, 0x3CA)), "han": map(chr, range(0x4E00, 0x5E00)), "random": "abcdefghijklmnopqrstuvwxyz"}
+    rows = []
+    for name, own in letters.items():
+        own = list(own)
+        for length in (200, 600, 2000, 6000, 20_000):
+            for _ in range(4):
+                words = ["".join(rnd.choices(own, k=rnd.randrange(2, 10))) for _ in range(length // 3)]
+                rows.append((len(rows), " ".join(words)[:length], name))
+    given = queries.table(spark, "/root/testdata/sf0.01", "documents").withColumn("held_out", language.held_out())
+    model = language.fit(given.filter(~F.col("held_out")))
+    assert all(r.rejected for r in language.identified(docs(rows), model).collect())
+    clean = given.filter("held_out AND lang IS NOT NULL").select("doc_id", "text").collect()
+    cut = [(r.doc_id, r.text[:n]) for r in clean for n in (200, 600, 2000, 6000, 20_000) if len(r.text) >= n]
+    kept = [not r.rejected for r in language.identified(docs(cut), model).collect()]
+    assert len(kept) > 300 and sum(kept) >= 0.995 * len(kept)
+
+
 def test_language_with_nothing_to_learn(docs):
     assert language.fit(docs([])) is None
     assert language.fit(docs([(1, "words", None), (2, None, "en"), (3, "12", "en")])) is None
