@@ -2,7 +2,8 @@
 
 The words of a source, document after document, are packed into blocks of a fixed
 length. The mix is a list of slots, cut into output shards. Each source has a quota of
-slots, its target in blocks. The counts of sources per shard are a multinomial draw
+slots, its target in blocks of its own mean length (a source's last block is shorter, and
+may be its only one). The counts of sources per shard are a multinomial draw
 given those quotas (drawn without putting back, so that totals are met exactly and not
 only on average): a pseudorandom permutation of all slots deals every source's quota
 out over the shards. The r-th slot of a source takes, in its pass ``r / blocks`` over
@@ -88,9 +89,9 @@ def planned(sizes: DataFrame, block: int = BLOCK_WORDS, **how) -> DataFrame:
     per = source_targets(sizes, **how).withColumns(
         {
             "blocks": F.ceil(F.col("source_size") / block).cast("long"),
-            "quota": F.round(F.col("target") / block).cast("long"),
+            "quota": F.round(F.col("target") * F.ceil(F.col("source_size") / block) / F.nullif(F.col("source_size"), F.lit(0))).cast("long"),
         }
-    )
+    ).fillna(0, ["quota"])
     earlier = W.orderBy("source_no").rowsBetween(W.unboundedPreceding, -1)
     return per.withColumns(
         {

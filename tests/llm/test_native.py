@@ -90,6 +90,20 @@ def test_mixing(docs):
     assert mixing.taken_words(docs([])).count() == 0
 
 
+def test_small_sources_meet_their_targets(docs):
+    sizes = {"big": 40_000, "one": 1, "ten": 10, "twenty": 20, "just": 64, "more": 65, "some": 130, "empty": 0}
+    rows = [(i, "w " * n, "en", s) for i, (s, n) in enumerate(sizes.items())]
+    got = {r.doc_id: r for r in mixing.taken_words(docs(rows)).collect()}
+    want = targets(sizes)
+    mixed = Counter()
+    for r in mixing.mixed_documents(docs(rows)).collect():
+        mixed[r.source] += len(r.text.split())
+    for i, (s, n) in enumerate(sizes.items()):
+        assert got[i].taken == mixed[s]
+        assert abs(got[i].taken - want[s]) <= 0.01 * want[s]
+        assert s == "big" or want[s] == got[i].taken == 3 * n
+
+
 def test_mixed_documents_take_what_the_plan_says(docs):
     rows = [(i, " ".join(f"w{i}_{j}" for j in range(150 + i)), "en", "a" if i % 4 else None) for i in range(24)] + [(50, None, None, "a")]
     plan = {r.doc_id: r.taken for r in mixing.taken_words(docs(rows), block=16).collect()}
