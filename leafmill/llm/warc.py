@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from leafmill.llm import texts as X
 from leafmill.session import scratch, written
 
-#: Bytes of an archive before the next begins, of a reading range, and of a record header at most.
-ARCHIVE_BYTES, RANGE_BYTES, HEADER_BYTES = 256 << 20, 32 << 20, 1 << 20
-MAGIC = b"\x1f\x8b\x08"
+#: Bytes of an archive before the next begins, of a reading range, and of a record header decoded at once.
+ARCHIVE_BYTES, RANGE_BYTES, HEADER_STEP = 256 << 20, 32 << 20, 64 << 10
+MAGIC, VERSION, LENGTH, BLANK_LINE = b"\x1f\x8b\x08", b"WARC/1.", b"content-length:", b"\r\n\r\n"
 NAME = "urn:leafmill:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
@@ -136,18 +136,29 @@ def headers(raw: bytes) -> dict[str, str]:
 
 
 def is_member(source, at: int) -> bool:
-    """Whether a gzip member begins there whose content begins with a whole WARC header."""
-    unpack, head, read = zlib.decompressobj(31), b"", 0
+    """Whether a gzip member begins there whose content begins with a whole WARC header, however long."""
+    unpack, read = zlib.decompressobj(31), 0
+    begin, tail, sized = b"", b"", False
     try:
-        while len(head) < HEADER_BYTES and b"\r\n\r\n" not in head and not unpack.eof:
-            piece = source.read_at(4096, at + read)
+        while not unpack.eof:
+            piece = unpack.unconsumed_tail
             if not piece:
-                break
-            head, read = head + unpack.decompress(piece, HEADER_BYTES), read + len(piece)
+                piece = source.read_at(4096, at + read)
+                read += len(piece)
+            if not piece:
+                return False
+            more = unpack.decompress(piece, HEADER_STEP)
+            begin = (begin + more[: len(VERSION)])[: len(VERSION)]
+            if not VERSION.startswith(begin):
+                return False
+            head, found, _ = (tail + more).partition(BLANK_LINE)
+            sized = sized or LENGTH in head.lower()
+            if found:
+                return sized
+            tail = head[-len(LENGTH) :]  # what either mark may begin with
     except zlib.error:
-        return False
-    start, found, _ = head.partition(b"\r\n\r\n")
-    return bool(found) and start.startswith(b"WARC/1.") and b"content-length:" in start.lower()
+        pass
+    return False
 
 
 def member(source, at: int) -> tuple[bytes, int]:

@@ -46,6 +46,17 @@ def test_warc_round_trip(pages, range_bytes):
     assert urls[f"{warc.NAME}2"] == "http://b/%0D%0AX: y" and urls[f"{warc.NAME}3"] is None
 
 
+@pytest.mark.parametrize("range_bytes", [5000, 32 << 20])
+def test_warc_headers_have_no_longest(spark, range_bytes):
+    rnd = random.Random(9)
+    urls = ["http://a/" + "x" * (2 << 20), "http://b/" + "\t" * 400_000, "http://c/" + rnd.randbytes(1 << 20).hex(), "http://d/"]
+    rows = [(i, u, f"body {i}") for i, u in enumerate(urls)]
+    files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    got = warc.read_archives(files.select("file", "length"), range_bytes).collect()
+    assert {r.record_id: r.target_uri for r in got} == {f"{warc.NAME}{i}": u.replace("\t", "%09") for i, u in enumerate(urls)}
+    assert len(got) == len(rows)
+
+
 def test_small_payloads_are_never_revisits(pages):
     files = warc.write_archives(pages, least=9)
     got = warc.read_archives(files.select("file", "length")).collect()
