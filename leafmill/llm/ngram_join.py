@@ -5,7 +5,9 @@ their sets' Jaccard similarity is ``PERCENT`` of a hundred or more. Sets are ord
 globally: n-grams that a first pass saw often last, the others by hash before them. (Any
 order gives the same links; this one keeps common passages out of the prefixes.)
 
-Documents of equal sets are one class, told by 128 bits of hash. Linked sets share k
+Documents of equal sets are one class, told by size and 128 bits of hash, and numbered; one
+of its rows, told by id and 128 bits of its text's hash, stands for it. Rows of one id (or
+of none) may hold different texts and are told apart throughout; ids are labels. Linked sets share k
 n-grams among the first ``n - ceil(0.75 n) + k`` of both (k is ``least_shared``, of the
 shorter one), so candidates meet by those:
 sorted rows of (n-gram, class) stream through the tasks, and n-grams of one class drop
@@ -24,7 +26,7 @@ sets with the same beginning share its overlap, and a branch is left as soon as
 plus what remains cannot reach what its shortest set would need.
 
 Defined results: a null or empty text has no n-gram and links with nothing. Rows that
-repeat id and text get equal results. A null id ranks above all ids, and a component of
+repeat id and text get equal results, rows that repeat an id with other texts their own. A null id ranks above all ids, and a component of
 null ids only has a null id. Extra columns stay; the results' names are replaced.
 """
 
@@ -34,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import texts as X
@@ -138,8 +140,19 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
 
 
+#: What tells a row's text apart: its id and two hashes of the text.
+ROW = ["doc", "t1", "t2"]
+
+
+def _row(id_col: str, text_col: str) -> list[Column]:
+    text = X.whole(F.col(text_col))
+    hashes = [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(HIGHEST)), *hashes]
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(HIGHEST)).alias("doc"), F.col(text_col).alias("text"))
+    doc, t1, t2 = _row(id_col, text_col)
+    return docs.select(doc.alias("doc"), F.col(text_col).alias("text"), t1.alias("t1"), t2.alias("t2"))
 
 
 def surveyed(texts: DataFrame) -> DataFrame:
@@ -153,7 +166,8 @@ def surveyed(texts: DataFrame) -> DataFrame:
             grams, seen = grams[seen >= 4], seen[seen >= 4]
             empty = pa.nulls(len(grams), pa.int64())
             columns = [pa.nulls(len(grams), pa.int64()), pa.array(seen.astype(np.int64)), signed(grams), empty]
-            return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(grams), pa.list_(pa.int64())), pa.nulls(len(grams), pa.binary())], names=names)
+            columns += [pa.nulls(len(grams), pa.list_(pa.int64())), pa.nulls(len(grams), pa.binary()), empty, empty]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in portions(batches):
             sets = shingle_sets(batch.column(1))
@@ -162,7 +176,8 @@ def surveyed(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), signed(np.array([w >> 64 for w in wide], np.uint64)),
                  signed(np.array([w & (1 << 64) - 1 for w in wide], np.uint64)),
-                 pa.array([folded(m, MAP_WORDS).view(np.int64) for m in maps], pa.list_(pa.int64())), pa.array([m.tobytes() for m in maps], pa.binary())],
+                 pa.array([folded(m, MAP_WORDS).view(np.int64) for m in maps], pa.list_(pa.int64())), pa.array([m.tobytes() for m in maps], pa.binary()),
+                 batch.column(2), batch.column(3)],
                 names=names,
             )
             for s in sets:
@@ -174,8 +189,8 @@ def surveyed(texts: DataFrame) -> DataFrame:
         if held:
             yield often(held)
 
-    names = ["doc", "n", "h", "h2", "map", "fine"]
-    return texts.mapInArrow(found, "doc long, n long, h long, h2 long, map array<long>, fine binary")
+    names = ["doc", "n", "h", "h2", "map", "fine", "t1", "t2"]
+    return texts.mapInArrow(found, "doc long, n long, h long, h2 long, map array<long>, fine binary, t1 long, t2 long")
 
 
 def common_ngrams(survey: DataFrame) -> np.ndarray:
@@ -185,7 +200,7 @@ def common_ngrams(survey: DataFrame) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, common) -> DataFrame:
-    """Per document the first n-grams of its ordered set: ``doc``, ``n``, ``first``."""
+    """Per row the first n-grams of its ordered set: ``doc``, ``t1``, ``t2``, ``n``, ``first``."""
 
     def found(batches):
         for batch in portions(batches):
@@ -194,36 +209,40 @@ def prefixes(texts: DataFrame, common) -> DataFrame:
             values = pa.array(np.concatenate([*first, np.empty(0, np.uint64)]).view(np.int64))
             ends = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in first]))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(ends, values)], names=["doc", "n", "first"]
+                [batch.column(0), batch.column(2), batch.column(3), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(ends, values)],
+                names=[*ROW, "n", "first"],
             )
 
-    return texts.mapInArrow(found, "doc long, n int, first array<long>")
+    return texts.mapInArrow(found, "doc long, t1 long, t2 long, n int, first array<long>")
 
 
 def shared_ngrams(rows: DataFrame) -> DataFrame:
-    """The rows (``gram``, ``doc``, ``n``) whose n-gram another class has too."""
+    """The rows (``gram``, ``node``, ``n``) whose n-gram another class has too, each once."""
 
     def split(batches):
         held = None  # the last row, not yet given out, and whether the one before had its n-gram
         for batch in batches:
-            gram, doc, n = (c.to_numpy() for c in batch.columns)
+            gram, node, n = (c.to_numpy() for c in batch.columns)
             if not len(gram):
                 continue
             before = False
             if held is not None:
-                gram, doc, n = (np.concatenate((np.array([h], c.dtype), c)) for h, c in zip(held[:3], (gram, doc, n), strict=True))
+                gram, node, n = (np.concatenate((np.array([h], c.dtype), c)) for h, c in zip(held[:3], (gram, node, n), strict=True))
                 before = held[3]
+            # Rows that repeat id and text stand for their class more than once.
+            new = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))
+            gram, node, n = gram[new], node[new], n[new]
             same = gram[1:] == gram[:-1]
             up = np.concatenate(([before], same))
             out = np.flatnonzero(up[:-1] | same)
-            held = (gram[-1], doc[-1], n[-1], bool(up[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (gram, doc, n)], names=names)
+            held = (gram[-1], node[-1], n[-1], bool(up[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (gram, node, n)], names=names)
         if held is not None and held[3]:
             yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held[:3]], names=names)
 
-    names = ["gram", "doc", "n"]
-    dealt = rows.repartition("gram").sortWithinPartitions("gram", "n", "doc")
-    return dealt.mapInArrow(split, "gram long, doc long, n int")
+    names = ["gram", "node", "n"]
+    dealt = rows.repartition("gram").sortWithinPartitions("gram", "n", "node")
+    return dealt.mapInArrow(split, "gram long, node long, n int")
 
 
 def may_link(a: str, b: str, a_map: str, b_map: str):
@@ -235,7 +254,7 @@ def may_link(a: str, b: str, a_map: str, b_map: str):
 
 
 def sharpened(pairs: DataFrame, fine: DataFrame) -> DataFrame:
-    """The pairs whose whole parity maps still allow a link; ``fine`` has ``doc``, ``n``, ``fine``."""
+    """The pairs whose whole parity maps still allow a link; ``fine`` has ``node``, ``n``, ``fine``."""
 
     @F.arrow_udf("boolean")
     def allowed(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
@@ -247,8 +266,8 @@ def sharpened(pairs: DataFrame, fine: DataFrame) -> DataFrame:
             out.append(differ * (100 + PERCENT) <= total * (100 - PERCENT))
         return pa.array(out, pa.bool_())
 
-    both = pairs.join(fine.select(F.col("doc").alias("a"), F.col("n").alias("a_n"), F.col("fine").alias("a_fine")), "a")
-    both = both.join(fine.select(F.col("doc").alias("b"), F.col("n").alias("b_n"), F.col("fine").alias("b_fine")), "b")
+    both = pairs.join(fine.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("fine").alias("a_fine")), "a")
+    both = both.join(fine.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("fine").alias("b_fine")), "b")
     return both.filter(allowed("a_fine", "b_fine", F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
@@ -301,8 +320,8 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     blocks = pairs.join(many, "b").withColumn(
         "block", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / TREE_SETS).cast("long"))
     ).select("a", "b", "block")
-    members = blocks.join(sets.withColumnRenamed("doc", "a"), "a").select("b", "block", "a", "own")
-    probes = blocks.select("b", "block").distinct().join(sets.withColumnRenamed("doc", "b"), "b")
+    members = blocks.join(sets.withColumnRenamed("node", "a"), "a").select("b", "block", "a", "own")
+    probes = blocks.select("b", "block").distinct().join(sets.withColumnRenamed("node", "b"), "b")
     rows = members.unionByName(probes.select("b", "block", F.lit(None).cast("long").alias("a"), "own"))
     dealt = rows.repartition("b", "block").sortWithinPartitions("b", "block", F.asc_nulls_first("a"))
 
@@ -332,28 +351,28 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def ordered_sets(texts: DataFrame, wanted: DataFrame, common) -> DataFrame:
-    """The ordered sets of the wanted classes, one row each: ``doc``, ``own`` as bytes."""
+    """The ordered sets of the wanted classes (``node`` and its row), one row each: ``node``, ``own`` as bytes."""
 
     def found(batches):
         for batch in portions(batches):
             sets = [ordered(s, common.value).astype("<u8").tobytes() for s in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "own"])
 
-    once = texts.join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
-    return once.mapInArrow(found, "doc long, own binary")
+    once = texts.join(wanted, ROW).dropDuplicates(["node"])
+    return once.select("node", "text").mapInArrow(found, "node long, own binary")
 
 
 def star_pairs(groups: DataFrame, round_no: int) -> DataFrame:
     """Each class of an unsettled n-gram with one class of that group, where components differ.
 
-    ``groups`` has ``gram``, ``doc``, ``label``, ``n``, ``map``. The first round takes the
+    ``groups`` has ``gram``, ``node``, ``label``, ``n``, ``map``. The first round takes the
     smallest set as hub, later ones another by hash.
     """
-    rank = F.struct("n", "doc") if round_no == 0 else F.struct(F.xxhash64("doc", F.lit(round_no)), "doc")
-    hubs = groups.groupBy("gram").agg(F.min_by(F.struct("doc", "label", "n", "map"), rank).alias("hub"))
+    rank = F.struct("n", "node") if round_no == 0 else F.struct(F.xxhash64("node", F.lit(round_no)), "node")
+    hubs = groups.groupBy("gram").agg(F.min_by(F.struct("node", "label", "n", "map"), rank).alias("hub"))
     both = groups.join(hubs, "gram").filter("label <> hub.label")
-    both = both.select("doc", "n", "map", F.col("hub.doc").alias("b"), F.col("hub.n").alias("b_n"), F.col("hub.map").alias("b_map"))
-    return both.filter(may_link("n", "b_n", "map", "b_map")).select(F.col("doc").alias("a"), "b").distinct()
+    both = both.select("node", "n", "map", F.col("hub.node").alias("b"), F.col("hub.n").alias("b_n"), F.col("hub.map").alias("b_map"))
+    return both.filter(may_link("n", "b_n", "map", "b_map")).select(F.col("node").alias("a"), "b").distinct()
 
 
 def block_pairs(groups: DataFrame) -> DataFrame:
@@ -366,20 +385,20 @@ def block_pairs(groups: DataFrame) -> DataFrame:
     its blocks is a task's unit, so no group is ever in one place.
     """
     sizes = groups.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    dealt = groups.join(sizes, "gram").withColumn("own", F.pmod(F.xxhash64("doc", F.lit("block")), F.col("blocks")))
+    dealt = groups.join(sizes, "gram").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "label", "n", "map")
+    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "map")
 
-    def near(p, q, doc, label, n, maps):
+    def near(p, q, node, label, n, maps):
         ok = (label[p] != label[q]) & (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * PERCENT)
         p, q = p[ok], q[ok]
         differ = np.bitwise_count(maps[p] ^ maps[q]).sum(1).astype(np.int64)
         ok = differ * (100 + PERCENT) <= (n[p].astype(np.int64) + n[q]) * (100 - PERCENT)
         need = least_shared(np.minimum(n[p[ok]], n[q[ok]]).astype(np.int64))
-        p, q = doc[p[ok]], doc[q[ok]]
+        p, q = node[p[ok]], node[q[ok]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(need)], names=["a", "b", "need"])
 
-    def pairs(key, own, doc, label, n, maps):
+    def pairs(key, own, node, label, n, maps):
         """All rows of whole groups; ``key`` tells the groups apart."""
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(first, len(key)))
@@ -390,7 +409,7 @@ def block_pairs(groups: DataFrame) -> DataFrame:
             at = np.flatnonzero(small & (rest > step))
             if not len(at):
                 break
-            yield near(at, at + step, doc, label, n, maps)
+            yield near(at, at + step, node, label, n, maps)
         for a, count in zip(first.tolist(), size.tolist(), strict=True):
             if small[a]:
                 continue
@@ -399,16 +418,16 @@ def block_pairs(groups: DataFrame) -> DataFrame:
             for at in range(0, len(left), 256):
                 p, q = (x.ravel() for x in np.meshgrid(left[at : at + 256], right, indexing="ij"))
                 own_block = own[0][a] == own[1][a]
-                yield near(p[p < q], q[p < q], doc, label, n, maps) if own_block else near(p, q, doc, label, n, maps)
+                yield near(p[p < q], q[p < q], node, label, n, maps) if own_block else near(p, q, node, label, n, maps)
 
     def found(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, i, j, mine, doc, label, n = (batch.column(c).to_numpy() for c in range(7))
+            gram, i, j, mine, node, label, n = (batch.column(c).to_numpy() for c in range(7))
             maps = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, MAP_WORDS)
-            new = [np.stack((gram, i, j), 1), i, j, mine, doc, label, n, maps]
+            new = [np.stack((gram, i, j), 1), i, j, mine, node, label, n, maps]
             if held is not None:
                 new = [np.concatenate(c) for c in zip(held, new, strict=True)]
             key = np.concatenate(([0], np.cumsum((new[0][1:] != new[0][:-1]).any(1))))
@@ -425,53 +444,66 @@ def block_pairs(groups: DataFrame) -> DataFrame:
 
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (``doc``, ``label`` and more) with labels joined by the links between documents."""
-    of = nodes.select("doc", "label")
-    pairs = links.join(of.select(F.col("doc").alias("a"), F.col("label").alias("a_label")), "a")
-    pairs = pairs.join(of.select(F.col("doc").alias("b"), F.col("label").alias("b_label")), "b")
+    """``nodes`` (``node``, ``label`` and more) with labels joined by the links between classes."""
+    of = nodes.select("node", "label")
+    pairs = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("a_label")), "a")
+    pairs = pairs.join(of.select(F.col("node").alias("b"), F.col("label").alias("b_label")), "b")
     found = components(pairs.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
-    out = nodes.join(found.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
+    found = found.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    out = nodes.join(found, "label", "left")
     return out.withColumn("label", F.coalesce("least", "label")).drop("least").select(*nodes.columns)
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, ``n_shingles`` and ``component_id``."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: ``doc``, ``t1``, ``t2``, ``n`` and ``component``; no id is ``HIGHEST``."""
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
     survey = written(surveyed(texts), "ngram-survey")
     common = spark.sparkContext.broadcast(common_ngrams(survey))  # at most MOST_COMMON numbers
     per_doc = survey.filter("doc IS NOT NULL")
-    classes = per_doc.filter("n > 0").groupBy("n", "h", "h2").agg(F.min("doc").alias("class"))
-    named = written(per_doc.join(classes, ["n", "h", "h2"], "left").select("doc", "n", "class", "map", "fine"), "ngram-classes")
-    nodes = named.filter("doc = class").select("doc", F.col("doc").alias("label"), F.col("n").cast("int").alias("n"), "map").dropDuplicates(["doc"])
-    first = prefixes(texts, common).join(nodes.select("doc"), "doc", "left_semi")
-    rows = first.select(F.explode("first").alias("gram"), "doc", "n")
+    classes = per_doc.filter("n > 0").groupBy("n", "h", "h2").agg(F.min(F.struct(*ROW)).alias("first"))
+    # Numbers are given once and then read: another run of the same plan could give others.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    named = written(per_doc.join(classes, ["n", "h", "h2"], "left").select(*ROW, "n", "node", "first", "map", "fine"), "ngram-named")
+    heads = named.filter(F.struct(*ROW) == F.col("first")).dropDuplicates(["node"])
+    nodes = heads.select("node", *ROW, F.col("node").alias("label"), F.col("n").cast("int").alias("n"), "map")
+    first = prefixes(texts, common).join(nodes.select("node", *ROW), ROW)
+    rows = first.select(F.explode("first").alias("gram"), "node", "n")
     shared = written(shared_ngrams(rows), "ngram-shared")
     released(spark)
-    nodes = written(nodes.join(shared.select("doc").distinct(), "doc", "left_semi"), "ngram-nodes")
-    fine = named.filter("doc = class").select("doc", "n", "fine").dropDuplicates(["doc"])
+    nodes = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
+    fine = heads.select("node", "n", "fine")
     for round_no in range(ROUNDS + 1):
-        held = shared.select("gram", "doc").join(nodes, "doc")
+        held = shared.select("gram", "node").join(nodes.drop(*ROW), "node")
         open_ = held.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         groups = held.join(open_.select("gram"), "gram", "left_semi")
         pairs = block_pairs(groups) if round_no == ROUNDS else star_pairs(groups, round_no)
         pairs = written(sharpened(written(pairs, "ngram-candidates"), fine), "ngram-pairs")
-        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        sets = written(ordered_sets(texts, wanted, common), "ngram-sets")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = written(ordered_sets(texts, nodes.select("node", *ROW).join(wanted, "node"), common), "ngram-sets")
         released(spark)
         links = written(compared(pairs, sets), "ngram-links")
         released(spark)
         nodes = written(labelled(nodes, links), "ngram-nodes")
-    out = named.join(nodes.select(F.col("doc").alias("class"), "label"), "class", "left")
-    own = F.coalesce("label", "class", "doc")
-    return out.select(
+    # A class's row has its smallest id; a component's id is the smallest of its classes'.
+    least = nodes.groupBy("label").agg(F.min("doc").alias("component"))
+    found = nodes.select("node", "label").join(least, "label").select("node", "component")
+    out = named.join(found, "node", "left")
+    return out.select(*ROW, "n", F.coalesce("component", "first.doc", "doc").alias("component"))
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: its id, ``n_shingles`` and ``component_id``."""
+    return _grouped(docs, id_col, text_col).select(
         F.when(F.col("doc") != HIGHEST, F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(own != HIGHEST, own).alias("component_id"),
+        F.when(F.col("component") != HIGHEST, F.col("component")).alias("component_id"),
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is their group's smallest; rows without words, or an id, all stay."""
-    mine = X.free_name(docs.columns, "_mine")
-    stays = grouped(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(mine)).distinct()
-    return docs.join(stays, (F.col(id_col) == F.col(mine)), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    names = [X.free_name(docs.columns, f"_{c}") for c in ROW]
+    stays = _grouped(docs, id_col, text_col).filter((F.col("doc") == F.col("component")) & (F.col("doc") != HIGHEST))
+    stays = stays.select(*[F.col(c).alias(name) for c, name in zip(ROW, names, strict=True)]).distinct()
+    same = [value == F.col(name) for value, name in zip(_row(id_col, text_col), names, strict=True)]
+    return docs.join(stays, same, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))

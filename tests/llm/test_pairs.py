@@ -80,6 +80,30 @@ def test_ngram_join_of_nulls_and_nothing(docs):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
 
 
+def test_ngram_join_of_ids_with_several_texts(docs):
+    """Rows of one id, or of none, are told apart by their texts."""
+    rnd = random.Random(11)
+    text = lambda tag: [f"{tag}{rnd.randrange(10**6)}" for _ in range(60)]
+    rows, want = [], []
+    for c in range(6):
+        first, other = text(f"a{c}_"), text(f"b{c}_")
+        copy, also = [*first[:-1], "end"], [*other[:-1], "end"]
+        own = 100 * c
+        for i, words, component in ((own + 9, first, own + 3), (own + 9, other, own + 9), (own + 3, copy, own + 3), (own + 11, also, own + 9)):
+            rows.append((i, " ".join(words)))
+            want.append((i, 56, component))
+        lone = text(f"n{c}_")
+        for i, words, component in ((None, lone, own + 50), (None, text(f"m{c}_"), None), (own + 50, [*lone[:-1], "end"], own + 50)):
+            rows.append((i, " ".join(words)))
+            want.append((i, 56, component))
+    rows += rows[:7]
+    want += want[:7]
+    got = ngram_join.grouped(docs(rows)).collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(docs(rows)).collect())
+    assert kept == Counter(r for r, w in zip(rows, want, strict=True) if r[0] is None or r[0] == w[2])
+
+
 def test_tree_finds_the_same_as_all_pairs():
     rnd = random.Random(4)
     base = sorted(rnd.sample(range(10_000), 40))
