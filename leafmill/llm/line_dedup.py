@@ -3,9 +3,10 @@
 Documents arrive in batches. A batch's distinct line keys become a sorted run: hash,
 number of documents, largest document id. Runs lie in levels; when a level holds
 ``FANOUT`` of them they are merged into one run of the next level and removed, so there
-are few runs at any time and each hash is rewritten once per level. A batch's lines are
-merge-joined with the runs: those whose key the runs know from enough documents, with a
-larger id among them, go; the anti-join's rest stays.
+are few runs at any time and each hash is rewritten once per level. What goes is decided
+by one join at the end, of all lines with the remaining runs combined, and not batch by
+batch: a line goes if enough documents have it and one of them has a larger id, and any
+later batch may bring either. That join is by hash; the order of the runs is not used.
 
 A key is the line without blanks at its ends, A-Z lower-cased, at least ``LEAST``
 characters long. It travels as 96 bits of its hash (a chance collision of two of 10^12
