@@ -12,8 +12,8 @@ centroids of which they were no part. A band of too few texts takes the limit of
 lower band, below the lowest one in proportion to the places; a language of too few texts
 the lowest limits of the others, and without any nothing is rejected for its distance.
 
-Training takes a bounded sample: ``PER_LANGUAGE`` texts of each language in expectation,
-picked by a hash of the id. Sampling, counting and clustering run in tasks; the driver
+Training takes a bounded sample: ``PER_LANGUAGE`` different rows of each language in
+expectation, picked by a hash of id and text, so null or repeated ids change nothing. Sampling, counting and clustering run in tasks; the driver
 receives per language a few vectors of ``DIMENSIONS`` numbers.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and is
@@ -130,13 +130,15 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     usable = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     # One number per language, as the model itself has some per language; texts stay where they are.
-    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    # Different rows are counted, as copies are taken once: rows without an id, or of one id, differ by their text.
+    known = F.approx_count_distinct(F.xxhash64(F.col("id").cast("string"), "text"), 0.02)
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(known.alias("n")).collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(v) for lang, n in sorted(sizes.items()) for v in (lang, min(1.0, PER_LANGUAGE / n))])
-    chance = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.filter(chance < share[F.col("lang")])
-    sample = sample.repartition("lang", F.pmod(F.xxhash64("id"), F.lit(8)))
+    chance = F.pmod(F.xxhash64(F.col("id").cast("string"), "text", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    sample = usable.filter(chance < share[F.col("lang")]).dropDuplicates(["lang", "id", "text"])
+    sample = sample.repartition("lang", F.pmod(F.xxhash64("id", "text"), F.lit(8)))
 
     def frequencies(batches):
         total, n = np.zeros(DIMENSIONS), 0

@@ -9,7 +9,8 @@ takes a place for a member if what decodes there begins with a whole WARC header
 owns the records that start inside its range, reading on beyond its end where the last
 one does. From a record it goes on at that record's end. Bytes that look like a member
 may lie inside the payload of another record (an archive stored in an archive): such a
-find starts before an earlier range's record ends, and is dropped by that test.
+find starts before an earlier range's record ends, and is dropped by that test, also if its
+body is broken. A broken record that lies in no other is an error.
 
 Payloads that many pages share are stored once: the page with the largest id holds the
 response, the others are revisits that name it, with the payload's digest and, in the
@@ -38,6 +39,10 @@ from leafmill.session import scratch, written
 #: Bytes of an archive before the next begins, of a reading range, and of a record header decoded at once.
 ARCHIVE_BYTES, RANGE_BYTES, HEADER_STEP = 256 << 20, 32 << 20, 64 << 10
 MAGIC, VERSION, LENGTH, BLANK_LINE = b"\x1f\x8b\x08", b"WARC/1.", b"content-length:", b"\r\n\r\n"
+#: Stands for the type of a find whose header decodes but whose body does not.
+BROKEN = "\0broken"
+#: Reading tasks at most; beyond, a task reads several ranges.
+MOST_TASKS = 50_000
 NAME = "urn:leafmill:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
@@ -161,15 +166,18 @@ def is_member(source, at: int) -> bool:
     return False
 
 
-def member(source, at: int) -> tuple[bytes, int]:
-    """The content of the member at a place, and where it ends."""
+def member(source, at: int) -> tuple[bytes, int] | None:
+    """The content of the member at a place, and where it ends; None if its body is broken or cut off."""
     unpack, out, read = zlib.decompressobj(31), io.BytesIO(), at
-    while not unpack.eof:
-        piece = source.read_at(256 << 10, read)
-        if not piece:
-            raise ValueError(f"a record at byte {at} is cut off")
-        read += len(piece)
-        out.write(unpack.decompress(piece))
+    try:
+        while not unpack.eof:
+            piece = source.read_at(256 << 10, read)
+            if not piece:
+                return None
+            read += len(piece)
+            out.write(unpack.decompress(piece))
+    except zlib.error:
+        return None
     return out.getvalue(), read - len(unpack.unused_data)
 
 
@@ -214,9 +222,11 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
 
     The digest of a response is computed from the payload that was read.
     """
+    # A number of partitions, as adaptive execution would merge these slim rows into one task.
+    count = files.filter("length > 0").agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1
     ranges = files.filter("length > 0").select(
         "file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"), "length"
-    ).repartition("file", "start")
+    ).repartition(min(int(count), MOST_TASKS), "file", "start")
 
     def read(batches):
         for batch in batches:
@@ -226,7 +236,12 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                     stop, rows, held = min(start + range_bytes, length), [], 0
                     at = starts(source, start, stop)
                     while at is not None:
-                        content, end = member(source, at)
+                        whole = member(source, at)
+                        if whole is None:  # lies in another record, or is an error
+                            rows.append({"file": file, "range_start": start, "offset": at, "end": at + 1, "record_type": BROKEN})
+                            at = starts(source, at + 1, stop)
+                            continue
+                        content, end = whole
                         rows.append({"file": file, "range_start": start, "offset": at, "end": end} | parsed(content))
                         held += len(content)
                         if held > 8 << 20:
@@ -238,8 +253,11 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
 
     texts = {"range_start": pa.int64(), "offset": pa.int64(), "end": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
     kind = pa.schema([(n, texts.get(n, pa.string())) for n in (c.split()[0] for c in RECORD.split(", "))])
-    records = written(ranges.mapInArrow(read, RECORD), "warc-records")
-    return without_nested(records)
+    records = without_nested(written(ranges.mapInArrow(read, RECORD), "warc-records"))
+    broken = records.filter(F.col("record_type") == BROKEN).select("file", "offset").first()
+    if broken:
+        raise ValueError(f"a record of {broken.file} at byte {broken.offset} is cut off")
+    return records
 
 
 def without_nested(records: DataFrame) -> DataFrame:

@@ -78,6 +78,26 @@ def test_archive_inside_an_archive(spark, tmp_path):
     assert sorted(r.record_id for r in got) == [f"{warc.NAME}1", f"{warc.NAME}2"]
 
 
+def test_cut_archive_inside_an_archive(spark, tmp_path):
+    """A find inside a record whose header decodes, but whose body is cut off, is no member and no error."""
+    inner = gzip.compress(warc.record(100, "http://in/", random.Random(1).randbytes(60_000), None, False))[:-2000]
+    outer = [gzip.compress(warc.record(i, "http://out/", random.Random(i).randbytes(9000) + inner, None, False), 0) for i in (1, 2)]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(outer))
+    got = warc.read_archives(warc.listed(spark, str(tmp_path)), 4096).collect()
+    assert sorted(r.record_id for r in got) == [f"{warc.NAME}1", f"{warc.NAME}2"]
+
+
+def test_ranges_are_spread_over_tasks(spark, pages, monkeypatch):
+    """As many reading tasks as ranges, though the ranges are slim rows."""
+    files = warc.write_archives(pages.coalesce(1))
+    size = sum(r.length for r in files.collect())
+    seen = []
+    real = warc.written
+    monkeypatch.setattr(warc, "written", lambda df, label: seen.append(df.rdd.getNumPartitions()) or real(df, label))
+    warc.read_archives(files.select("file", "length"), 200)
+    assert seen == [sum(-(-r.length // 200) for r in files.collect())] and seen[0] >= size // 200 > 4
+
+
 def test_cut_archive_is_an_error(spark, tmp_path):
     whole = gzip.compress(warc.record(1, "http://out/", random.Random(2).randbytes(200_000), None, False))
     (tmp_path / "x.warc.gz").write_bytes(whole[:-5000])
@@ -148,6 +168,19 @@ def test_language_rejects_varied_foreign_texts_of_all_lengths(spark, docs):
     assert len(kept) > 300 and sum(kept) >= 0.995 * len(kept)
 
 
+@pytest.mark.parametrize("id_of", [lambda i: None, lambda i: 7, lambda i: i])
+def test_language_learns_from_rows_without_own_ids(docs, id_of):
+    """50 English rows and 3,000 German ones, of null ids, of one id and of ids of their own."""
+    english = [(id_of(i), f"the quick brown fox number {i} jumps over the lazy dog and the {i * 7} cats", "en") for i in range(50)]
+    german = [(id_of(i), f"der schnelle braune Fuchs Nummer {i} springt über den faulen Hund und {i * 7} Katzen", "de") for i in range(100, 3100)]
+    rows = docs(english + german + [(id_of(9), "the same row many times over, and over again", "en")] * 3000)
+    model = language.fit(rows)
+    assert set(model.languages) == {"de", "en"}
+    asked = docs([(1, "the lazy dog and the fox"), (2, "der faule Hund und der Fuchs"), (3, None)])
+    got = {r.doc_id: r.lang_pred for r in language.identified(asked, model).collect()}
+    assert got == {1: "en", 2: "de", 3: "und"}
+
+
 def test_language_with_nothing_to_learn(docs):
     assert language.fit(docs([])) is None
     assert language.fit(docs([(1, "words", None), (2, None, "en"), (3, "12", "en")])) is None
