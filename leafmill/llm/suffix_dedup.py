@@ -24,7 +24,8 @@ meet that list.
 
 Defined results: a null text is empty, texts shorter than the window lose nothing. A null
 id ranks below all others. Rows that repeat id and text are one document several times
-and get equal results; rows that share an id only rank by a hash of their text. Extra
+and get equal results; rows that share an id only rank by a hash of their text, and are
+told apart by 128 bits of it (where no id repeats, the hashes are left out). Extra
 columns stay; ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` are replaced.
 """
 
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import texts as X
@@ -46,6 +47,7 @@ from leafmill.session import written
 WINDOW, DIGIT, AT_ONCE = 100, 40, 1 << 21
 _FACTOR = 0x9E3779B97F4A7C15
 LOWEST = -(1 << 63)
+ROW = ["doc", "sub", "sub2"]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -142,16 +144,23 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.astype(np.uint64).view(np.int64))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc`` and ``sub`` name a document, ``raw`` has its bytes."""
+def identity(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What names a row: its id and, if any id is null or repeats, two hashes of its text."""
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
+    unsure = docs.select(doc.alias("doc")).groupBy("doc").count().filter((F.col("count") > 1) | (F.col("doc") == LOWEST))
+    if unsure.isEmpty():
+        return [doc, F.lit(0).cast("long"), F.lit(0).cast("long")]
     text = X.whole(F.col(text_col))
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.hash(text).alias("sub"), text.cast("binary").alias("raw")
-    )
+    return [doc, F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
+def keyed(docs: DataFrame, own: list[Column], text_col: str) -> DataFrame:
+    """``doc``, ``sub`` and ``sub2`` name a document, ``raw`` has its bytes."""
+    return docs.select(*[c.alias(n) for c, n in zip(own, ROW, strict=True)], X.whole(F.col(text_col)).cast("binary").alias("raw"))
 
 
 def runs(keyed_docs: DataFrame) -> DataFrame:
-    """One row per run of windows with one first digit: ``digit``, ``span``, ``doc``, ``sub``, ``run``.
+    """One row per run of windows with one first digit: ``digit``, ``span``, the row, ``run``.
 
     ``run`` is the first start, times 128, plus the number of starts that follow. Runs
     that a batch already shows to repeat an earlier one of it are settled: they get
@@ -160,7 +169,7 @@ def runs(keyed_docs: DataFrame) -> DataFrame:
 
     def found(batches):
         for batch in batches:
-            texts, parts = batch.column(2).to_pylist(), []
+            texts, parts = batch.column(3).to_pylist(), []
             for raw, starts, whose, shift in _pieces(texts):
                 digit, first, last = first_digits(np.frombuffer(raw, np.uint8), starts)
                 at = np.searchsorted(starts, first)
@@ -169,12 +178,12 @@ def runs(keyed_docs: DataFrame) -> DataFrame:
             if not parts:
                 continue
             digit, span, own, run = (np.concatenate(c) for c in zip(*parts, strict=True))
-            doc, sub = batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own]
-            run = np.where(earlier([digit, span], [doc, sub, run]), -1 - run, run)
-            yield pa.RecordBatch.from_arrays([signed(digit), signed(span), pa.array(doc), pa.array(sub), pa.array(run)], names=names)
+            row = [batch.column(i).to_numpy()[own] for i in range(3)]
+            run = np.where(earlier([digit, span], [*row, run]), -1 - run, run)
+            yield pa.RecordBatch.from_arrays([signed(digit), signed(span), *[pa.array(c) for c in (*row, run)]], names=names)
 
-    names = ["digit", "span", "doc", "sub", "run"]
-    return keyed_docs.mapInArrow(found, "digit long, span long, doc long, sub int, run long")
+    names = ["digit", "span", *ROW, "run"]
+    return keyed_docs.mapInArrow(found, "digit long, span long, doc long, sub long, sub2 long, run long")
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -183,26 +192,26 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def sorted_runs(rows: DataFrame) -> DataFrame:
     """Runs that are repeated whole (``again`` true) and runs whose windows need the last digit."""
-    order = ["digit", "span", "doc", "sub", "run"]
+    order = ["digit", "span", *ROW, "run"]
 
     def split(batches):
         held = None  # the last row of the batch before: its digit, span and place
         pending = None  # the first run of a group of one span so far: it is in question once another span comes
         for batch in batches:
-            digit, span, doc, sub, run = _columns(batch)
+            digit, span, doc, sub, sub2, run = _columns(batch)
             settled = run < 0
             if settled.any():
                 out = np.flatnonzero(settled)
-                columns = (doc[out], sub[out], -1 - run[out], digit[out], np.ones(len(out), bool))
+                columns = (doc[out], sub[out], sub2[out], -1 - run[out], digit[out], np.ones(len(out), bool))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-                digit, span, doc, sub, run = (c[~settled] for c in (digit, span, doc, sub, run))
+                digit, span, doc, sub, sub2, run = (c[~settled] for c in (digit, span, doc, sub, sub2, run))
             if not len(digit):
                 continue
-            before = held or (~int(digit[0]), 0, 0, 0, 0)
-            prior = [np.concatenate((np.array([b], c.dtype), c[:-1])) for b, c in zip(before, (digit, span, doc, sub, run), strict=True)]
+            before = held or (~int(digit[0]), 0, 0, 0, 0, 0)
+            prior = [np.concatenate((np.array([b], c.dtype), c[:-1])) for b, c in zip(before, (digit, span, doc, sub, sub2, run), strict=True)]
             same_digit = digit == prior[0]
             same_span = same_digit & (span == prior[1])
-            twice = same_span & (doc == prior[2]) & (sub == prior[3]) & (run == prior[4])  # a repeated row, not a repeated text
+            twice = same_span & (doc == prior[2]) & (sub == prior[3]) & (sub2 == prior[4]) & (run == prior[5])  # a repeated row, not a repeated text
             again = same_span & ~twice
             new_span = same_digit & ~same_span
             # A span's first run is in question if its digit has another span, before or after it.
@@ -215,27 +224,27 @@ def sorted_runs(rows: DataFrame) -> DataFrame:
                 pending = None
             if len(first_of_digit):
                 at = first_of_digit[-1]
-                pending = None if several[group[-1]] else (doc[at], sub[at], run[at], digit[at])
-            held = tuple(c[-1] for c in (digit, span, doc, sub, run))
+                pending = None if several[group[-1]] else (doc[at], sub[at], sub2[at], run[at], digit[at])
+            held = tuple(c[-1] for c in (digit, span, doc, sub, sub2, run))
             out = np.flatnonzero(again | asked)
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (doc, sub, run, digit)] + [pa.array(again[out])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (doc, sub, sub2, run, digit)] + [pa.array(again[out])], names=names)
 
-    names = ["doc", "sub", "run", "digit", "again"]
+    names = [*ROW, "run", "digit", "again"]
     # Settled runs go anywhere; sorted last, they do not come between the others.
     settled = F.col("run") < 0
     spread = F.when(settled, F.xxhash64("doc", "run")).otherwise(F.col("digit"))
     dealt = rows.repartition(spread).sortWithinPartitions(settled, *order)
-    return dealt.mapInArrow(split, "doc long, sub int, run long, digit long, again boolean")
+    return dealt.mapInArrow(split, "doc long, sub long, sub2 long, run long, digit long, again boolean")
 
 
 def windows(asked: DataFrame, keyed_docs: DataFrame) -> DataFrame:
-    """The windows of the runs in question with their last digit: ``digit``, ``window``, ``doc``, ``sub``, ``start``."""
-    lists = asked.groupBy("doc", "sub").agg(F.collect_list(F.struct("run", "digit")).alias("asked"))
+    """The windows of the runs in question with their last digit: ``digit``, ``window``, the row, ``start``."""
+    lists = asked.groupBy(*ROW).agg(F.collect_list(F.struct("run", "digit")).alias("asked"))
 
     def found(batches):
         for batch in batches:
-            asked = batch.column(3)
-            for n, raw in enumerate(batch.column(2).to_pylist()):
+            asked = batch.column(4)
+            for n, raw in enumerate(batch.column(3).to_pylist()):
                 own = asked[n].values
                 run, digit = (own.field(i).to_numpy() for i in (0, 1))
                 first, more = run >> 7, run & 127
@@ -253,18 +262,18 @@ def windows(asked: DataFrame, keyed_docs: DataFrame) -> DataFrame:
                     at = start - begin
                     size = pa.array(np.full(len(at), n))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(which), signed(h[at]), batch.column(0).take(size), batch.column(1).take(size), pa.array(start)],
-                        names=["digit", "window", "doc", "sub", "start"],
+                        [pa.array(which), signed(h[at]), *[batch.column(i).take(size) for i in range(3)], pa.array(start)],
+                        names=["digit", "window", *ROW, "start"],
                     )
 
     # A repeated row is one document: its text is needed once.
-    once = keyed_docs.join(lists, ["doc", "sub"]).select("doc", "sub", "raw", "asked")
-    return once.mapInArrow(found, "digit long, window long, doc long, sub int, start long")
+    once = keyed_docs.join(lists, ROW).select(*ROW, "raw", "asked")
+    return once.mapInArrow(found, "digit long, window long, doc long, sub long, sub2 long, start long")
 
 
 def later_windows(rows: DataFrame) -> DataFrame:
     """The windows that are not the first of their group, as runs of one start."""
-    order = ["digit", "window", "doc", "sub", "start"]
+    order = ["digit", "window", *ROW, "start"]
 
     def split(batches):
         held = None
@@ -272,15 +281,13 @@ def later_windows(rows: DataFrame) -> DataFrame:
             columns = _columns(batch)
             if not len(columns[0]):
                 continue
-            before = held or (~int(columns[0][0]), 0, 0, 0, 0)
-            digit, window, doc, sub, start = [np.concatenate((np.array([b], c.dtype), c[:-1])) == c for b, c in zip(before, columns, strict=True)]
+            before = held or (~int(columns[0][0]), 0, 0, 0, 0, 0)
+            digit, window, doc, sub, sub2, start = [np.concatenate((np.array([b], c.dtype), c[:-1])) == c for b, c in zip(before, columns, strict=True)]
             held = tuple(c[-1] for c in columns)
-            out = np.flatnonzero(digit & window & ~(doc & sub & start))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[2][out]), pa.array(columns[3][out]), pa.array(columns[4][out] * 128)], names=["doc", "sub", "run"]
-            )
+            out = np.flatnonzero(digit & window & ~(doc & sub & sub2 & start))
+            yield pa.RecordBatch.from_arrays([*[pa.array(columns[i][out]) for i in (2, 3, 4)], pa.array(columns[5][out] * 128)], names=[*ROW, "run"])
 
-    return rows.repartition("digit", "window").sortWithinPartitions(*order).mapInArrow(split, "doc long, sub int, run long")
+    return rows.repartition("digit", "window").sortWithinPartitions(*order).mapInArrow(split, "doc long, sub long, sub2 long, run long")
 
 
 def released(spark) -> None:
@@ -289,22 +296,23 @@ def released(spark) -> None:
     spark._jvm.System.gc()
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The runs of windows that an earlier one equals: ``doc``, ``sub``, ``run``."""
-    named = keyed(docs, id_col, text_col)
+def repeated_runs(docs: DataFrame, own: list[Column], text_col: str = "text") -> DataFrame:
+    """The runs of windows that an earlier one equals: the row, named by ``own``, and ``run``."""
+    named = keyed(docs, own, text_col)
     passed = written(sorted_runs(runs(named)), "suffix-runs")
     released(docs.sparkSession)
-    asked = passed.filter("NOT again").select("doc", "sub", "run", "digit")
+    asked = passed.filter("NOT again").select(*ROW, "run", "digit")
     later = written(later_windows(windows(asked, named)), "suffix-windows")
     released(docs.sparkSession)
-    return passed.filter("again").select("doc", "sub", "run").unionByName(later)
+    return passed.filter("again").select(*ROW, "run").unionByName(later)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the bytes that stay."""
-    found = repeated_runs(docs, id_col, text_col)
-    doc, sub, runs_, made = (X.free_name(docs.columns, n) for n in ("_doc", "_sub", "_runs", "_made"))
-    lists = found.groupBy(F.col("doc").alias(doc), F.col("sub").alias(sub)).agg(F.collect_list("run").alias(runs_))
+    own = identity(docs, id_col, text_col)
+    found = repeated_runs(docs, own, text_col)
+    *row, runs_, made = (X.free_name(docs.columns, f"_{n}") for n in (*ROW, "runs", "made"))
+    lists = found.groupBy(*[F.col(c).alias(n) for c, n in zip(ROW, row, strict=True)]).agg(F.collect_list("run").alias(runs_))
 
     @F.arrow_udf("struct<n_removed bigint, n_spans bigint, kept binary>")
     def cut(text: pa.Array, runs: pa.Array) -> pa.Array:
@@ -326,6 +334,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = X.whole(F.col(text_col))
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
     kept = [c for c in docs.columns if c not in names]
-    own = (F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)) == F.col(doc)) & (F.hash(text) == F.col(sub))
-    both = docs.join(lists, own, "left").withColumn(made, cut(text.cast("binary"), F.col(runs_)))
+    same = [value == F.col(name) for value, name in zip(own, row, strict=True)]
+    both = docs.join(lists, same, "left").withColumn(made, cut(text.cast("binary"), F.col(runs_)))
     return both.select(*kept, F.octet_length(text).cast("long").alias("n_bytes"), *[F.col(f"{made}.{n}").alias(n) for n in names[1:]])

@@ -208,3 +208,16 @@ def test_runs_are_compacted_by_level(spark, docs):
         runs.add(line_dedup.line_keys(rows, "doc_id", "text", 20))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert [(r.n, r["last"]) for r in runs.repeated(2).collect()] == [(5, 4)]
+
+
+def test_suffix_dedup_tells_rows_without_ids_apart(spark, docs):
+    """Texts without an id (or of one id) whose 32-bit hashes agree keep their own runs."""
+    many = spark.range(300_000).select(F.repeat(F.sha2(F.col("id").cast("string"), 256), 2 + F.col("id").cast("int") % 5).alias("text"))
+    twins = many.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").collect()
+    assert twins
+    for own in (None, 7):
+        rows = [(own, t) for r in twins for t in r.t]
+        got = Counter((r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.deduplicated(docs(rows)).collect())
+        # A digest repeated k times repeats each of its windows from the second period on.
+        want = Counter((len(t), max(0, len(t) - 64) if len(t) >= 164 else 0, int(len(t) >= 164)) for _, t in rows)
+        assert got == want
