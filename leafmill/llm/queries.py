@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, exact_dedup, fingerprint, language, line_dedup, mixing, ngram_join, suffix_dedup, url_filter, warc
+from leafmill.llm import (
+    bpe, exact_dedup, fingerprint, hard_negatives, importance, language, line_dedup, mixing, ngram_join, secret_scan, suffix_dedup, url_filter, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,3 +183,89 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same,
+        CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.br ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+        n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON n.ar = p.ar AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+    QUALIFY rank <= 3
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("vec_id") % 7 == 0
+    label = F.when(own, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.mined(rows, F.col("vec_id") % 50 == 0)
+
+
+def _secret_rules() -> str:
+    """The rules as rows: order, kind, expression whose group 1 is the tail, least length of the tail."""
+    rows = []
+    for n, rule in enumerate(secret_scan.RULES):
+        head = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", rule.head.replace(r"\x20", " ")) if rule.any_case else rule.head
+        tail, least = ("[0-9a-f]+", 16) if rule.kind == "hex" else (rule.tail, rule.least)
+        pattern = f"{head.replace('(', '(?:')}({tail})".replace("'", "''")
+        rows.append(f"({n}, '{rule.kind}', '{pattern}', {least})")
+    return ", ".join(rows)
+
+
+@query(
+    "op12_secret_scan",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    rules(n, kind, p, least) AS (VALUES {_secret_rules()}),
+    m AS (SELECT r, n, kind, least, regexp_extract_all(t, p) AS whole, regexp_extract_all(t, p, 1) AS tails, string_split_regex(t, p) AS gaps
+        FROM d, rules WHERE regexp_matches(t, p)),
+    u AS (SELECT r, n, kind, least, unnest(whole) AS w, unnest(tails) AS tail, unnest(gaps[1:len(whole)]) AS gap, unnest(range(len(whole))) AS i FROM m),
+    s AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY r, n ORDER BY i) AS stop FROM u),
+    f AS (SELECT r, n, kind, CAST(stop - length(w) AS BIGINT) AS start, concat(kind, ':', CAST(stop - length(w) AS BIGINT), ':', CAST(stop AS BIGINT)) AS span
+        FROM s WHERE length(tail) >= least)
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        sha256(coalesce(string_agg(span, ',' ORDER BY start, n) FILTER (n < 3), '')) AS base_sha256,
+        coalesce(string_agg(span, ',' ORDER BY start, n), '') AS spans
+    FROM d LEFT JOIN f USING (r) GROUP BY r, doc_id
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_importance",
+    r"""
+    WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+    d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+    dw AS (SELECT r, unnest(w) AS word FROM d),
+    words AS (SELECT DISTINCT word, hex(word) AS h FROM (SELECT word FROM dw UNION ALL SELECT word FROM b)),
+    k AS (SELECT word, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i:
+        (strpos('0123456789ABCDEF', substr(h, CAST(2 * i + 1 AS BIGINT), 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, CAST(2 * i + 2 AS BIGINT), 1)) - 1)),
+        lambda c, x: xor(c >> 8, tab[xor(c % 256, x) + 1]))) % 10000 AS bucket FROM words, tab),
+    s AS (SELECT bucket, count(*) AS s FROM dw JOIN k USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+    z AS (SELECT (SELECT count(*) FROM dw) AS ss, (SELECT count(*) FROM b) AS tt),
+    g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (ss + 10000) / ((coalesce(s, 0) + 1.0::DOUBLE) * (tt + 10000)))) AS gain
+        FROM s FULL JOIN t USING (bucket), z),
+    x AS (SELECT r, floor(sum(gain) / count(*)) AS weight FROM dw JOIN k USING (word) JOIN g USING (bucket) GROUP BY r),
+    h AS (SELECT r, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS sha
+        FROM d LEFT JOIN x USING (r)),
+    v AS (SELECT *, list_reduce(list_transform(range(8), lambda i: strpos('0123456789abcdef', substr(sha, CAST(i + 1 AS BIGINT), 1)) - 1), lambda a, c: a * 16 + c) AS u FROM h),
+    q AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM v),
+    o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS rank FROM q WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM o) THEN rank END AS rank FROM q LEFT JOIN o USING (r)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
