@@ -33,6 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm import texts as X
+
 #: Bounds of the fit: training texts per language, centroids per language, vector length.
 PER_LANGUAGE, CENTROIDS, DIMENSIONS = 600, 4, 8192
 #: A text is rejected below this share of the cosine that 99 of 100 training texts of its band reach;
@@ -127,6 +129,7 @@ def _limits(texts: list[str], vectors: np.ndarray, model: Model) -> list[float]:
 
 def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> Model | None:
     """Learns from ``rows``; rows without a language or a letter are left out. None: nothing to learn."""
+    X.slim_batches(rows.sparkSession)
     usable = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     usable = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     # One number per language, as the model itself has some per language; texts stay where they are.

@@ -11,15 +11,18 @@ of none) may hold different texts and are told apart throughout; ids are labels.
 n-grams among the first ``n - ceil(0.75 n) + k`` of both (k is ``least_shared``, of the
 shorter one), so candidates meet by those:
 sorted rows of (n-gram, class) stream through the tasks, and n-grams of one class drop
-out. Then, in rounds, every class is compared with one class of each of its n-grams'
-groups, and classes found linked become one component; groups inside one component are
-settled. In the last round all pairs that lie in different components still are compared,
-in blocks. So a group of thousands of near copies takes some rows a member, not a row a
-pair, and no link that joins two components can be missed.
+out. Then pairs are compared, and classes found linked become one component, so that pairs
+inside a component need no comparison any more. First every class meets one class
+of each of its n-grams' groups. Then groups of more than ``SMALL`` classes go in rounds, in
+blocks: a block of many pairs gives a random one of each component at a time, which joins
+the components of a group of near copies in a few rounds, until all pairs left have been
+compared. Last come all pairs of small groups that lie in different components still. So a
+group of thousands of near copies takes some rows a member, not a row a pair, and no link
+that joins two components can be missed.
 
 Before sets are fetched, a pair must pass exact tests: its lengths, and the bits in which
 its parity maps differ, which are at most the n-grams in which the sets do; first in maps
-of 256 bits, then in maps of about a bit an n-gram. Only sets of the pairs that remain
+of 256 bits, then in maps of ``FINE_BITS`` bits an n-gram or more. Only sets of the pairs that remain
 are made.
 Candidates of one class are compared in blocks: the block's sets form a prefix tree, so
 sets with the same beginning share its overlap, and a branch is left as soon as overlap
@@ -48,12 +51,17 @@ SHINGLE, PERCENT = 5, 75
 #: An n-gram counts as common from so many sightings; at most so many are told to the tasks
 #: (8 MB). Only the order, and so the work, depends on them.
 COMMON, MOST_COMMON = 32, 1 << 20
-#: N-grams a task counts at once, sets of a tree, classes of a block, rounds before the last.
-AT_ONCE, TREE_SETS, BLOCK, ROUNDS = 1 << 20, 256, 1024, 2
+#: N-grams a task counts at once, sets of a tree, classes of a block.
+AT_ONCE, TREE_SETS, BLOCK = 1 << 20, 256, 1024
+#: Classes of a small group; pairs a class that a larger group's unit gives out at once, and
+#: rounds after which it gives all (only groups of very many pairs that may link, but do not, get there).
+SMALL, ENOUGH, HOT_ROUNDS = 32, 4, 8
+#: Pairs of a component that such a unit gives out at once.
+PICKS = 3
 #: Bytes of text whose words a task holds at once (a longer single text is held alone).
 PORTION = 2 << 20
 HIGHEST = (1 << 63) - 1
-MAP_WORDS = 4
+MAP_WORDS, FINE_BITS = 4, 4
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,10 +134,10 @@ def linked(overlap: int, a: int, b: int) -> bool:
 def parity_map(own: np.ndarray) -> np.ndarray:
     """Bits of which each n-gram flips one: two maps differ in at most as many bits as their sets in n-grams.
 
-    A power of two of words, with about a bit an n-gram, so that long sets tell apart too.
+    A power of two of words, with ``FINE_BITS`` bits an n-gram or more: the more, the fewer n-grams flip one bit twice.
     """
     size = 64 * MAP_WORDS
-    while size < len(own):
+    while size < FINE_BITS * len(own):
         size *= 2
     bits = np.bincount((_mixed(own) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
@@ -362,85 +370,169 @@ def ordered_sets(texts: DataFrame, wanted: DataFrame, common) -> DataFrame:
     return once.select("node", "text").mapInArrow(found, "node long, own binary")
 
 
-def star_pairs(groups: DataFrame, round_no: int) -> DataFrame:
-    """Each class of an unsettled n-gram with one class of that group, where components differ.
+def star_pairs(groups: DataFrame) -> DataFrame:
+    """Each class of an n-gram with the group's smallest set, its hub.
 
-    ``groups`` has ``gram``, ``node``, ``label``, ``n``, ``map``. The first round takes the
-    smallest set as hub, later ones another by hash.
+    ``groups`` has ``gram``, ``node``, ``label``, ``n``, ``map``.
     """
-    rank = F.struct("n", "node") if round_no == 0 else F.struct(F.xxhash64("node", F.lit(round_no)), "node")
+    rank = F.struct("n", "node")
     hubs = groups.groupBy("gram").agg(F.min_by(F.struct("node", "label", "n", "map"), rank).alias("hub"))
     both = groups.join(hubs, "gram").filter("label <> hub.label")
     both = both.select("node", "n", "map", F.col("hub.node").alias("b"), F.col("hub.n").alias("b_n"), F.col("hub.map").alias("b_map"))
     return both.filter(may_link("n", "b_n", "map", "b_map")).select(F.col("node").alias("a"), "b").distinct()
 
 
-def block_pairs(groups: DataFrame) -> DataFrame:
-    """All pairs of classes that share enough n-grams, lie in different components and may link.
+def near(p, q, label, n, maps) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows' pairs those in different components that lengths and parity maps allow to link."""
+    ok = (label[p] != label[q]) & (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * PERCENT)
+    p, q = p[ok], q[ok]
+    differ = np.bitwise_count(maps[p] ^ maps[q]).sum(1).astype(np.int64)
+    ok = differ * (100 + PERCENT) <= (n[p].astype(np.int64) + n[q]) * (100 - PERCENT)
+    return p[ok], q[ok]
 
-    Every n-gram that two classes of different components share is in an unsettled group,
-    so the count of their meetings is whole.
 
-    A group of more than ``BLOCK`` classes is cut into blocks by hash, and each pair of
-    its blocks is a task's unit, so no group is ever in one place.
+def grouped_rows(batches, keys: int):
+    """Sorted rows as columns that hold whole groups, equal in the first ``keys`` columns; the last column is the map."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(batch.num_columns - 1)]
+        new.append(batch.column(batch.num_columns - 1).flatten().to_numpy().view(np.uint64).reshape(-1, MAP_WORDS))
+        if held is not None:
+            new = [np.concatenate(c) for c in zip(held, new, strict=True)]
+        last = np.ones(len(new[0]), bool)
+        for c in new[:keys]:
+            last &= c == c[-1]
+        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0  # the last group may go on
+        held = [c[cut:] for c in new]
+        if cut:
+            yield [c[:cut] for c in new]
+    if held is not None:
+        yield held
+
+
+class WideMaps:
+    """Whole parity maps of some rows, by size, and folded to half of it: sizes of sets that may link are that near."""
+
+    def __init__(self, fine: np.ndarray):
+        self.words = np.array([len(f) // 8 for f in fine], np.int64)
+        self.place = np.zeros(len(fine), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for size in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == size)
+            self.place[at] = np.arange(len(at))
+            self.of[size] = np.frombuffer(b"".join(fine[at]), np.uint64).reshape(-1, size)
+
+    def differ(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The number of bits in which the maps of each pair differ."""
+        out = np.zeros(len(p), np.int64)
+        a, b = np.minimum(self.words[p], self.words[q]), np.maximum(self.words[p], self.words[q])
+        large = np.where(self.words[p] == b, p, q)
+        small = np.where(large == p, q, p)
+        for x, y in {(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)}:
+            at = np.flatnonzero((a == x) & (b == y))
+            step = max(1, (1 << 20) // y)
+            for begin in range(0, len(at), step):
+                own = at[begin : begin + step]
+                one = self.of[y][self.place[large[own]]]
+                one = np.bitwise_xor.reduce(one.reshape(len(own), -1, x), axis=1)
+                out[own] = np.bitwise_count(one ^ self.of[x][self.place[small[own]]]).sum(1)
+        return out
+
+
+def firsts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where the groups of sorted rows begin, and where the last one ends."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def small_pairs(groups: DataFrame) -> DataFrame:
+    """All pairs in groups of up to ``SMALL`` classes that share enough n-grams, lie in different components and may link.
+
+    Every such n-gram that two classes share is in one of these groups, or a larger group has
+    settled them already, so the count of their meetings is whole.
     """
-    sizes = groups.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    dealt = groups.join(sizes, "gram").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
+
+    def found(batches):
+        for gram, node, label, n, maps in grouped_rows(batches, 1):
+            first = firsts([gram])
+            size = np.diff(first)
+            rest = np.repeat(size, size) - (np.arange(len(gram)) - np.repeat(first[:-1], size))
+            for step in range(1, SMALL):  # the partners at each distance, for all groups at once
+                at = np.flatnonzero(rest > step)
+                if not len(at):
+                    break
+                p, q = near(at, at + step, label, n, maps)
+                need = least_shared(np.minimum(n[p], n[q]).astype(np.int64))
+                p, q = node[p], node[q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(need)], names=["a", "b", "need"])
+
+    sorted_ = groups.select("gram", "node", "label", "n", "map").repartition("gram").sortWithinPartitions("gram")
+    met = sorted_.mapInArrow(found, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count("*").alias("met"))
+    return met.filter("met >= need").select("a", "b")
+
+
+def hot_pairs(groups: DataFrame, sizes: DataFrame, round_no: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of larger groups that lie in different components and may link, a bounded number a class;
+    and rows (``gram``, ``left``) of the groups that hold more than were given out.
+
+    A group is cut into blocks of ``BLOCK`` classes by hash, and each pair of its blocks is a
+    task's unit, so no group is ever in one place. A unit of few pairs gives all of them. Any other gives a
+    random pair of each of its components: what links joins components, and next round
+    its members need no comparison any more.
+    """
+    blocks = sizes.select("gram", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+    dealt = groups.join(blocks, "gram").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "map")
-
-    def near(p, q, node, label, n, maps):
-        ok = (label[p] != label[q]) & (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * PERCENT)
-        p, q = p[ok], q[ok]
-        differ = np.bitwise_count(maps[p] ^ maps[q]).sum(1).astype(np.int64)
-        ok = differ * (100 + PERCENT) <= (n[p].astype(np.int64) + n[q]) * (100 - PERCENT)
-        need = least_shared(np.minimum(n[p[ok]], n[q[ok]]).astype(np.int64))
-        p, q = node[p[ok]], node[q[ok]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(need)], names=["a", "b", "need"])
-
-    def pairs(key, own, node, label, n, maps):
-        """All rows of whole groups; ``key`` tells the groups apart."""
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(first, len(key)))
-        # Few rows a group: the partners at each distance, for all groups at once.
-        rest = np.repeat(size, size) - (np.arange(len(key)) - np.repeat(first, size))
-        small = np.repeat((size <= 32) & (own[0][first] == own[1][first]), size)
-        for step in range(1, 32):
-            at = np.flatnonzero(small & (rest > step))
-            if not len(at):
-                break
-            yield near(at, at + step, node, label, n, maps)
-        for a, count in zip(first.tolist(), size.tolist(), strict=True):
-            if small[a]:
-                continue
-            rows = np.arange(a, a + count)
-            left, right = rows[own[2][rows] == own[0][a]], rows[own[2][rows] == own[1][a]]
-            for at in range(0, len(left), 256):
-                p, q = (x.ravel() for x in np.meshgrid(left[at : at + 256], right, indexing="ij"))
-                own_block = own[0][a] == own[1][a]
-                yield near(p[p < q], q[p < q], node, label, n, maps) if own_block else near(p, q, node, label, n, maps)
+    dealt = dealt.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "fine", "map")
+    whole = round_no >= HOT_ROUNDS
+
+    def some_of_each(a, b, a_label, b_label):
+        """For each component its pairs of the smallest numbers, made from the pair and the round."""
+        low, high = np.minimum(a, b).astype(np.uint64), np.maximum(a, b).astype(np.uint64)
+        chance = _mixed(_mixed(low * _FACTOR + np.uint64(round_no)) ^ high)
+        label = np.concatenate((a_label, b_label))
+        order = np.lexsort((np.tile(chance, 2), label))
+        first = firsts([label[order]])
+        rank = np.arange(len(order)) - np.repeat(first[:-1], np.diff(first))
+        return np.unique(order[rank < PICKS] % max(1, len(a)))
+
+    def unit(own, i, j, node, label, n, fine, maps):
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out, total, wide = [], 0, WideMaps(fine)
+        for at in range(0, len(left), 256):
+            p, q = (x.ravel() for x in np.meshgrid(left[at : at + 256], right, indexing="ij"))
+            p, q = near(p[p < q], q[p < q], label, n, maps) if i == j else near(p, q, label, n, maps)
+            ok = wide.differ(p, q) * (100 + PERCENT) <= (n[p].astype(np.int64) + n[q]) * (100 - PERCENT)
+            p, q = p[ok], q[ok]
+            total += len(p)
+            out.append((p, q))
+            if not whole and sum(len(x) for x, _ in out) > ENOUGH * len(own):
+                p, q = (np.concatenate(c) for c in zip(*out, strict=True))
+                at = some_of_each(node[p], node[q], label[p], label[q])
+                out = [(p[at], q[at])]
+        p, q = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (left[:0], left[:0])
+        if not whole and len(p) < total:
+            at = some_of_each(node[p], node[q], label[p], label[q])
+            p, q = p[at], q[at]
+        return node[p], node[q], total - len(p)
 
     def found(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram, i, j, mine, node, label, n = (batch.column(c).to_numpy() for c in range(7))
-            maps = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, MAP_WORDS)
-            new = [np.stack((gram, i, j), 1), i, j, mine, node, label, n, maps]
-            if held is not None:
-                new = [np.concatenate(c) for c in zip(held, new, strict=True)]
-            key = np.concatenate(([0], np.cumsum((new[0][1:] != new[0][:-1]).any(1))))
-            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
-            held = [c[cut:] for c in new]
-            if cut:
-                yield from pairs(key[:cut], [c[:cut] for c in new[1:4]], *(c[:cut] for c in new[4:]))
-        if held is not None:
-            yield from pairs(np.zeros(len(held[0]), np.int64), held[1:4], *held[4:])
+        for gram, i, j, own, node, label, n, fine, maps in grouped_rows(batches, 3):
+            first = firsts([gram, i, j])
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                p, q, left = unit(own[a:b], i[a], j[a], node[a:b], label[a:b], n[a:b], fine[a:b], maps[a:b])
+                numbers = [np.maximum(p, q), np.minimum(p, q), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)]
+                if left:
+                    numbers = [np.append(c, x) for c, x in zip(numbers, (-1, -1, gram[a], left), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in numbers], names=["a", "b", "gram", "left"])
 
     sorted_ = dealt.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
-    met = sorted_.mapInArrow(found, "a long, b long, need long").groupBy("a", "b", "need").agg(F.count("*").alias("met"))
-    return met.filter("met >= need").select("a", "b")
+    return sorted_.mapInArrow(found, "a long, b long, gram long, left long").distinct()
 
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -457,6 +549,7 @@ def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: ``doc``, ``t1``, ``t2``, ``n`` and ``component``; no id is ``HIGHEST``."""
     spark = docs.sparkSession
+    X.slim_batches(spark)
     texts = _texts(docs, id_col, text_col)
     survey = written(surveyed(texts), "ngram-survey")
     common = spark.sparkContext.broadcast(common_ngrams(survey))  # at most MOST_COMMON numbers
@@ -473,18 +566,40 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     released(spark)
     nodes = written(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "ngram-nodes")
     fine = heads.select("node", "n", "fine")
-    for round_no in range(ROUNDS + 1):
-        held = shared.select("gram", "node").join(nodes.drop(*ROW), "node")
-        open_ = held.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        groups = held.join(open_.select("gram"), "gram", "left_semi")
-        pairs = block_pairs(groups) if round_no == ROUNDS else star_pairs(groups, round_no)
-        pairs = written(sharpened(written(pairs, "ngram-candidates"), fine), "ngram-pairs")
+
+    def unsettled(rows):
+        held = rows.select("gram", "node").join(nodes.drop(*ROW), "node")
+        spread = held.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        return held, spread.filter("low <> high").select("gram", "size")
+
+    def joined(pairs):
+        """``nodes`` with the components that the links among some pairs join."""
+        pairs = written(sharpened(pairs, fine), "ngram-pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = written(ordered_sets(texts, nodes.select("node", *ROW).join(wanted, "node"), common), "ngram-sets")
         released(spark)
         links = written(compared(pairs, sets), "ngram-links")
         released(spark)
-        nodes = written(labelled(nodes, links), "ngram-nodes")
+        return written(labelled(nodes, links), "ngram-nodes")
+
+    held, open_ = unsettled(shared)
+    nodes = joined(written(star_pairs(held.join(open_, "gram", "left_semi")), "ngram-candidates"))
+    # Every group's size counts once, before groups settle, so that one is either small or hot to its end.
+    sizes = written(shared.groupBy("gram").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL), "ngram-hot")
+    hot = written(shared.join(sizes, "gram", "left_semi"), "ngram-hot-rows")
+    for round_no in range(HOT_ROUNDS + 1):
+        held, open_ = unsettled(hot)
+        held = held.join(open_, "gram", "left_semi").join(fine.select("node", "fine"), "node")
+        found = written(hot_pairs(held, open_, round_no), "ngram-candidates")
+        pairs = found.filter("a >= 0").select("a", "b").distinct()
+        if not pairs.isEmpty():
+            nodes = joined(pairs)
+        more = found.filter("a < 0").select("gram").distinct()
+        if more.isEmpty():
+            break
+        hot = hot.join(more, "gram", "left_semi")
+    held, open_ = unsettled(shared.join(sizes, "gram", "left_anti"))
+    nodes = joined(written(small_pairs(held.join(open_, "gram", "left_semi")), "ngram-candidates"))
     # A class's row has its smallest id; a component's id is the smallest of its classes'.
     least = nodes.groupBy("label").agg(F.min("doc").alias("component"))
     found = nodes.select("node", "label").join(least, "label").select("node", "component")
