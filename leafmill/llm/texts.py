@@ -42,6 +42,6 @@ def slim_batches(spark: SparkSession) -> None:
     """Lowers the session's bounds of Arrow batches; lower ones stay. Results do not depend on them."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, "0").lower().rstrip("b")
+        now = spark.conf.get(key).lower().rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
