@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,10 @@ FOUND_DDL = (
     "methods:array<struct<name:string,params:string,returns:string,window:string>>>>"
 )
 
-_FUNCTION = re.compile(P.FUNCTION, re.DOTALL)
+# ``P.FUNCTION`` in two halves without backtracking: where a function may begin, and what may end its
+# parameters. A source with no such end is read once, not once for each beginning.
+_BEGIN = re.compile(r"def\s++([a-zA-Z0-9_]++)\s*+\(")
+_END = re.compile(r"\)\s*+(?:->(?:\s*+([a-zA-Z0-9_\[\]\.\'\"<>, ]++)|(?=\s*+:)[^\S ]*+( ))\s*+)?:")
 _CLASS = re.compile(P.CLASS_WITH_BODY, re.DOTALL)
 _DECORATOR = re.compile(P.DECORATOR, re.MULTILINE)
 
@@ -45,24 +49,35 @@ def parameter_parts(params: str) -> list[str]:
     return pieces
 
 
+def signatures(source: str) -> Iterator[tuple[int, int, str, str, str | None]]:
+    """Begin, end, name, parameters and return type of each match of ``P.FUNCTION``, in linear time."""
+    begin = _BEGIN.search(source)
+    while begin:
+        end = _END.search(source, begin.end())
+        if not end:
+            return
+        yield begin.start(), end.end(), begin[1], source[begin.end() : end.start()], end[1] or end[2]
+        begin = _BEGIN.search(source, end.end())
+
+
 def find_functions(source: str) -> list[dict]:
     spans = [m.span() for m in _DECORATOR.finditer(source)]
     starts = [s for s, _ in spans]
     result = []
-    for m in _FUNCTION.finditer(source):
-        after = source.find("def ", m.end())
-        begin = source.rfind("\n", 0, m.start()) + 1
-        end = source.find("\n", m.end())
+    for first, last, name, params, returns in signatures(source):
+        after = source.find("def ", last)
+        begin = source.rfind("\n", 0, first) + 1
+        end = source.find("\n", last)
         # The earliest decorator that begins inside the window above the line.
         at = bisect_right(starts, begin - P.DECORATOR_WINDOW)
         if at < len(spans) and spans[at][1] <= begin:
             begin = starts[at]
         result.append(
             {
-                "name": m[1],
-                "parts": parameter_parts(m[2].strip()),
-                "returns": m[3].strip() if m[3] else None,
-                "body": source[m.end() : after if after >= 0 else None],
+                "name": name,
+                "parts": parameter_parts(params.strip()),
+                "returns": returns.strip() if returns else None,
+                "body": source[last : after if after >= 0 else None],
                 "definition": source[begin : end if end >= 0 else None].strip(),
             }
         )
@@ -76,8 +91,8 @@ def find_classes(source: str) -> list[dict]:
             "parents": c[2] or "",
             "body": c[3],
             "methods": [
-                {"name": m[1], "params": m[2], "returns": m[3] or "", "window": c[3][m.start() : m.end() + P.METHOD_WINDOW]}
-                for m in _FUNCTION.finditer(c[3])
+                {"name": name, "params": params, "returns": returns or "", "window": c[3][first : last + P.METHOD_WINDOW]}
+                for first, last, name, params, returns in signatures(c[3])
             ],
         }
         for c in _CLASS.finditer(source)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -55,24 +56,27 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_held: list[list[str]] = []
+#: What jobs around the present one have written, innermost last; threads have their own.
+_held: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("held", default=())
 
 
 @contextlib.contextmanager
 def intermediates(spark: SparkSession):
     """Removes, at the end, all that ``written`` wrote inside; for jobs whose results lie elsewhere."""
-    _held.append([])
+    own: list[str] = []
+    token = _held.set((*_held.get(), own))
     try:
         yield
     finally:
-        for path in _held.pop():
+        _held.reset(token)
+        for path in own:
             discard(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: cuts lineage, survives lost executors, has a size."""
     path = scratch(df.sparkSession, label)
-    if _held:
-        _held[-1].append(path)
+    if _held.get():
+        _held.get()[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
