@@ -44,7 +44,7 @@ from leafmill.llm import texts as X
 from leafmill.session import written
 
 #: Bytes of a window and of its first digit; window starts that a task handles at once.
-WINDOW, DIGIT, AT_ONCE = 100, 40, 1 << 21
+WINDOW, DIGIT, AT_ONCE = 100, 40, 1 << 20
 _FACTOR = 0x9E3779B97F4A7C15
 LOWEST = -(1 << 63)
 ROW = ["doc", "sub", "sub2"]
@@ -309,6 +309,7 @@ def repeated_runs(docs: DataFrame, own: list[Column], text_col: str = "text") ->
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the bytes that stay."""
+    X.slim_batches(docs.sparkSession)
     own = identity(docs, id_col, text_col)
     found = repeated_runs(docs, own, text_col)
     *row, runs_, made = (X.free_name(docs.columns, f"_{n}") for n in (*ROW, "runs", "made"))
