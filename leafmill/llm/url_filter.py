@@ -10,6 +10,9 @@ its host's labels and those segments of its path that it fixes whole.
 
 Work is done once per distinct URL and comes back by an equi-join on the URL, so a URL
 that a third of all rows repeat is judged once; adaptive execution splits the way back.
+Tokens travel with a SHA-256 of their URL. Only the candidates found by the index, one
+row per URL and rule, meet the URL's text again, so a URL of very many segments costs
+no more than its length.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, matches no
 rule with tokens and gets the default; repeated rows each get their verdict; extra
@@ -91,10 +94,12 @@ def judged(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: s
     spark = pages.sparkSession
     url = F.col(url_col)
     urls = pages.select(url.alias("u")).filter("u is not null").distinct()
-    urls = urls.select("u", host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p"))
-    tokens = urls.select("u", F.concat("h", "p").alias("subject"), F.explode(tokens_of(F.col("h"), F.col("p"))).alias("token"))
+    urls = urls.select("u", F.unhex(F.sha2("u", 256)).alias("key"), host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p"))
+    tokens = urls.select("key", F.explode(tokens_of(F.col("h"), F.col("p"))).alias("token"))
     index = indexed(rule_table(spark, rules), tokens)
-    hits = tokens.join(index, "token").filter(F.expr("subject rlike pattern"))
+    # A rule lies under one token and a URL's tokens are distinct, so no candidate comes twice.
+    candidates = tokens.join(index, "token").drop("token")
+    hits = candidates.join(urls.select("key", "u", F.concat("h", "p").alias("subject")), "key").filter(F.expr("subject rlike pattern"))
     u, best = X.free_name(pages.columns, "_u"), X.free_name(pages.columns, "_best")
     found = hits.groupBy(F.col("u").alias(u)).agg(F.max(F.struct("rank", "name", "verdict")).alias(best))
     out = pages.drop("host", "path", "rule", "verdict").join(found, F.col(url_col) == F.col(u), "left")

@@ -156,6 +156,15 @@ def test_url_filter(spark):
         url_filter.rule_table(spark, [url_filter.Rule("x", "block", ".*", (), 1)])
 
 
+def test_urls_of_very_many_segments(spark):
+    """Token rows are slim: the work follows a URL's length, not its square."""
+    long = "https://a.example.org/es/" + "/".join(f"s{i}" for i in range(50_000))
+    given = spark.createDataFrame([(1, long), (2, long + "?q"), (3, long.replace("/es/", "/fr/")), (4, None)], "page_id long, url string")
+    rules = [url_filter.site_rule("block", "example.org/es/"), url_filter.site_rule("allow", "org/"), url_filter.word_rule("block", "s7")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(given, rules).select("page_id", "rule", "verdict").collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("example.org/es/", "block"), 3: ("org/", "allow"), 4: (None, "allow")}
+
+
 def test_fingerprints(docs):
     rnd = random.Random(1)
     text = " ".join(f"w{rnd.randrange(500)}" for _ in range(400))

@@ -201,6 +201,31 @@ def test_line_dedup(docs):
     assert line_dedup.deduplicated(docs([])).count() == 0
 
 
+def test_line_dedup_of_many_rows_without_ids(docs):
+    """Rows without an id, or all of one id, do not share one list; repeated rows do."""
+    rnd = random.Random(7)
+    pool = [f"Line number {i} of the large common pool" for i in range(3000)]
+    for own in (None, 7):
+        rows = [(own, "\n".join([f"a line that only row {i} has, once", *rnd.sample(pool, 20)])) for i in range(5000)]
+        rows += [rows[0]] * 50 + [(8, pool[0] + "\n" + pool[1])]
+        got = line_dedup.deduplicated(docs(rows).repartition(4)).collect()
+        assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got) == brute_lines(rows)
+
+
+def test_a_batch_is_judged_by_the_runs_before_it(spark, docs):
+    """Hits and new keys by batch, larger ids first, whatever the spread of ids."""
+    rows = [(i * i * i, f"the line that everybody holds\nthe line of ids {i // 4} and such") for i in range(24)]
+    keys = line_dedup.line_keys(docs(rows), "doc_id", "text", 20).withColumn("batch", line_dedup.batch_of(docs(rows), "doc_id", 3))
+    sizes = {r.batch: (r.low, r.high, r.n) for r in keys.groupBy("batch").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.countDistinct("doc").alias("n")).collect()}
+    assert sorted(sizes) == [0, 1, 2] and sizes[0][0] > sizes[1][1] and sizes[1][0] > sizes[2][1]
+    assert all(7 <= n <= 9 for _, _, n in sizes.values())
+    runs = line_dedup.Runs(spark)
+    for batch in range(3):
+        runs.add(keys.filter(F.col("batch") == batch))
+    common = runs.repeated(24).collect()
+    assert [(r.n, r["last"], sorted((f.batch, f.seen) for f in r.found)) for r in common] == [(24, 23**3, [(0, False), (1, True), (2, True)])]
+
+
 def test_runs_are_compacted_by_level(spark, docs):
     runs = line_dedup.Runs(spark, fanout=2)
     for batch in range(5):
