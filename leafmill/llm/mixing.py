@@ -3,10 +3,12 @@
 The words of a source, document after document, are packed into blocks of a fixed
 length. The mix is a list of slots, cut into output shards. Each source has a quota of
 slots, its target in blocks of its own mean length (a source's last block is shorter, and
-may be its only one). The counts of sources per shard are a multinomial draw
-given those quotas (drawn without putting back, so that totals are met exactly and not
-only on average): a pseudorandom permutation of all slots deals every source's quota
-out over the shards. The r-th slot of a source takes, in its pass ``r / blocks`` over
+may be its only one). The counts of sources per shard are a multinomial draw given those
+quotas (drawn without putting back, so that totals are met exactly and not only on
+average): a pseudorandom permutation of all slots deals every source's quota out over
+the shards. The counts then make the slots. A shard's slots of a source take the next
+ranks of that source, after those of earlier shards, and a permutation of the shard
+interleaves its sources. The r-th slot of a source takes, in its pass ``r / blocks`` over
 the source, the block that a permutation of that source and pass assigns to
 ``r mod blocks``; slots and blocks are joined by that index. A pass takes each block
 once, and a quota is at most three passes, so no document comes more than three times.
@@ -19,8 +21,9 @@ Prefix sums over the documents of a source, which may be a third of the corpus,
 hash buckets of documents first and within a bucket after, so no task gets a source.
 
 Defined results: a null source is a source of its own and ranks last; a null or empty
-text has size 0 and is never taken; repeated rows are packed as rows of their own;
-extra columns pass through ``mixed_documents`` untouched.
+text has size 0 and is never taken; repeated rows are packed as rows of their own, and
+rows of one id (or none) in the order of a hash of their text, so reruns agree; extra
+columns pass through ``mixed_documents`` untouched.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from leafmill.session import written
 
 #: Words of a block, slots of an output shard, documents of a prefix-sum bucket.
 BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS = 64, 4096, 4096
+#: Slots that one row stands for before it is spread, shards of a stretch in prefix sums.
+PIECE, STRETCH = 16_384, 4096
 #: Weights of the sources in order, repeating; a source is passed at most so often.
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
 ROUNDS, SEED = 16, 20240607
@@ -101,49 +106,78 @@ def planned(sizes: DataFrame, block: int = BLOCK_WORDS, **how) -> DataFrame:
     )
 
 
-def drawn_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """One row per slot of the mix: ``shard``, ``place`` in it, ``source_no``, block ``index``, ``pass``."""
-    piece = 16_384
-    runs = plan.filter("quota > 0").withColumn("run", F.explode(F.expr(f"sequence(0L, (quota - 1) div {piece})")))
-    # So many partitions by number: adaptive execution would join these few rows, which become many, into one.
+def _spread(rows: DataFrame, plan: DataFrame, *keys: str) -> DataFrame:
+    """``rows``, few but about to become one per slot, in as many partitions as slots ask for."""
+    # By number: adaptive execution would join them into one.
     slots = plan.agg(F.max("slots")).first()[0] or 0
     wanted = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = runs.repartition(max(1, min(4 * wanted, -(-slots // piece))), "source_no", "run")
-    ranks = spread.withColumn(
-        "rank", F.explode(F.expr(f"sequence(run * {piece}, least((run + 1) * {piece}, quota) - 1)"))
+    return rows.repartition(max(1, min(4 * wanted, -(-slots // PIECE))), *keys)
+
+
+def drawn_counts(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The draw: how many ``slots`` of each ``shard`` every source gets, and the source's ``blocks``."""
+    runs = plan.filter("quota > 0").withColumn("run", F.explode(F.expr(f"sequence(0L, (quota - 1) div {PIECE})")))
+    ranks = _spread(runs, plan, "source_no", "run").withColumn(
+        "rank", F.explode(F.expr(f"sequence(run * {PIECE}, least((run + 1) * {PIECE}, quota) - 1)"))
     )
     slot = permuted(F.col("first_slot") + F.col("rank"), F.col("slots"), F.lit(seed).cast("long"))
-    dealt = ranks.withColumns({"slot": slot, "pass": F.expr("rank div blocks")})
+    dealt = ranks.select("source_no", "blocks", slot.alias("slot"))
+    return dealt.groupBy(F.expr(f"slot div {shard_slots}").alias("shard"), "source_no", "blocks").agg(F.count("*").alias("slots"))
+
+
+def drawn_slots(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """One row per slot of the mix: ``shard``, ``place`` in it, ``source_no``, block ``index``, ``pass``."""
+    counts = written(drawn_counts(plan, shard_slots, seed), "shard-counts")
+    before = W.unboundedPreceding, -1
+    # A source's slots in earlier shards: over stretches of shards first, so no task gets all shards of a source.
+    counts = counts.withColumn("_stretch", F.expr(f"shard div {STRETCH}"))
+    sums = counts.groupBy("source_no", "_stretch").agg(F.sum("slots").alias("_sum"))
+    lead = W.partitionBy("source_no").orderBy("_stretch").rowsBetween(*before)
+    sums = sums.select("source_no", "_stretch", F.coalesce(F.sum("_sum").over(lead), F.lit(0)).alias("_base"))
+    inside = W.partitionBy("source_no", "_stretch").orderBy("shard").rowsBetween(*before)
+    counts = counts.withColumn("_inside", F.coalesce(F.sum("slots").over(inside), F.lit(0))).join(sums, ["source_no", "_stretch"])
+    shard = W.partitionBy("shard")
+    counts = counts.withColumns(
+        {
+            "first_rank": F.col("_base") + F.col("_inside"),
+            "first_place": F.coalesce(F.sum("slots").over(shard.orderBy("source_no").rowsBetween(*before)), F.lit(0)),
+            "width": F.sum("slots").over(shard),
+        }
+    )
+    each = _spread(counts, plan, "shard", "source_no").withColumn("_nth", F.explode(F.expr("sequence(0L, slots - 1)")))
+    each = each.withColumn("rank", F.col("first_rank") + F.col("_nth")).withColumn("pass", F.expr("rank div blocks"))
     own = F.xxhash64(F.lit(seed), "source_no", "pass")
-    dealt = dealt.withColumn("index", permuted(F.col("rank") % F.col("blocks"), F.col("blocks"), own))
-    return dealt.select(
-        F.expr(f"slot div {shard_slots}").alias("shard"), F.expr(f"slot % {shard_slots}").alias("place"),
-        "source_no", "index", "pass",
-    )
+    return each.select(
+        "shard",
+        permuted(F.col("first_place") + F.col("_nth"), F.col("width"), F.xxhash64(F.lit(seed), "shard")).alias("place"),
+        "source_no",
+        permuted(F.col("rank") % F.col("blocks"), F.col("blocks"), own).alias("index"),
+        "pass",
+    )
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
-    """The draw itself: how many slots of each shard every source got."""
+    """How many slots of each shard every source has."""
     return slots.groupBy("shard", "source_no").agg(F.count("*").alias("slots"))
 
 
 def packed(sized: DataFrame, plan: DataFrame, rows: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``start``, the place of a document's first word in its source's run of words.
 
-    ``sized`` has ``doc_id``, ``source``, ``size`` and whatever the caller keeps.
+    ``sized`` has ``doc_id``, ``source``, ``size``, ``mark`` (a hash of the text).
     """
     buckets = max(1, -(-rows // bucket_rows))
     named = sized.join(
         plan.select(F.col("source").alias("_source"), "source_no", "source_size", "target"),
         F.col("source").eqNullSafe(F.col("_source")),
     ).drop("_source")
-    named = named.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    named = named.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)))
     sums = named.groupBy("source_no", "_bucket").agg(F.sum("size").alias("_words"))
     lead = W.partitionBy("source_no").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(
         "source_no", "_bucket", F.coalesce(F.sum("_words").over(lead), F.lit(0)).alias("_base")
     )
-    inside = W.partitionBy("source_no", "_bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source_no", "_bucket").orderBy("doc_id", "size", "mark").rowsBetween(W.unboundedPreceding, -1)
     named = named.withColumn("_within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     both = named.join(sums, ["source_no", "_bucket"])
     return both.withColumn("start", F.col("_base") + F.col("_within")).drop("_bucket", "_base", "_within")
@@ -162,56 +196,81 @@ def with_blocks(placed: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
-def _prepared(docs: DataFrame, *keep: str, **how) -> tuple[DataFrame, DataFrame]:
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *keep)
+def _mark() -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64("source", "text")
+
+
+def _prepared(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _mark().alias("mark"))
     sized = written(sized, "sizes")
     plan = written(planned(sized, **how), "targets")
     return packed(sized, plan, sized.count()), plan
 
 
-def taken_words(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """Per document: ``size``, its source's ``source_size`` and ``target``, and ``taken``."""
+def taken_words(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """Per document: ``size``, its source's ``source_size`` and ``target``, ``taken``, and the ``first_shard`` with words of it."""
     placed, plan = _prepared(docs, block=block)
     placed = written(placed, "placed")
-    copies = drawn_slots(plan, seed=seed).groupBy("source_no", "index").agg(F.count("*").alias("copies"))
+    slots = drawn_slots(plan, shard_slots, seed)
+    copies = slots.groupBy("source_no", "index").agg(F.count("*").alias("copies"), F.min("shard").alias("shard"))
     copies = written(copies, "copies")  # so that the join knows its size, which the few plan rows hide
     used = with_blocks(placed, block).join(copies, ["source_no", "index"])
-    taken = used.groupBy("source_no", "start", "doc_id", "size", "source_size", "target").agg(
-        F.sum((F.col("to") - F.col("from")) * F.col("copies")).alias("taken")
-    )
     # ``start`` tells apart documents of a source that have words; the rest take nothing.
-    key = ["source_no", "start", "doc_id", "size"]
-    some = placed.filter("size > 0").join(taken.select(*[F.col(k).alias(f"_{k}") for k in key], "taken"), (F.col("source_no") == F.col("_source_no")) & (F.col("start") == F.col("_start")), "left")
+    taken = used.groupBy(F.col("source_no").alias("_source_no"), F.col("start").alias("_start")).agg(
+        F.sum((F.col("to") - F.col("from")) * F.col("copies")).alias("taken"), F.min("shard").alias("first_shard")
+    )
+    some = placed.filter("size > 0").join(taken, (F.col("source_no") == F.col("_source_no")) & (F.col("start") == F.col("_start")), "left")
     shown = ["doc_id", "size", "source_size", "target"]
-    none = placed.filter("size = 0").select(*shown, F.lit(0).cast("long").alias("taken"))
-    return some.select(*shown, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(none)
+    none = placed.filter("size = 0").select(*shown, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
+    return some.select(*shown, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard").unionByName(none)
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The mix as documents: one row per document and pass, its text the words taken in that pass.
+def _words_and_spans(docs: DataFrame, block: int, seed: int, shard_slots: int) -> tuple[DataFrame, str, str]:
+    """One row per document and pass with its columns, its words, and where each span of them goes; the two columns' names.
 
-    Words keep the blanks before them, so a document taken whole is its text unchanged
-    but for blanks at its end. Rows that repeat id, source and text share one text row.
+    Rows that repeat id, source and text share one text row.
     """
-    stamp = X.free_name(docs.columns, "_stamp")
-    stamped = docs.withColumn(stamp, F.xxhash64("source", "text"))
-    placed, plan = _prepared(stamped, stamp, block=block)
-    slots = written(drawn_slots(plan, seed=seed).select("source_no", "index", "pass"), "slots")
+    mark, doc, own, spans, words = (X.free_name(docs.columns, n) for n in ("_mark", "_doc", "_own", "_spans", "_words"))
+    placed, plan = _prepared(docs, block=block)
+    slots = written(drawn_slots(plan, shard_slots, seed), "slots")
     used = with_blocks(placed, block).join(slots, ["source_no", "index"])
-    spans = used.groupBy("source_no", "start", "pass", F.col("doc_id").alias("_doc"), F.col(stamp).alias("_mark")).agg(
-        F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_spans")
-    )
-    once = stamped.dropDuplicates(["doc_id", stamp])
-    words = F.regexp_extract_all(F.col("text"), F.lit(X.BLANKS + "*" + X.WORD), F.lit(0))
-    joined = once.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col(stamp) == F.col("_mark")))
-    joined = joined.withColumn("_words", words)
-    text = F.array_join(
-        F.transform(
-            "_spans", lambda s: F.array_join(F.slice("_words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), "")
-        ),
-        "",
+    span = F.struct("from", "to", "shard", "place", "start")
+    found = used.groupBy("source_no", "start", "pass", F.col("doc_id").alias(doc), F.col("mark").alias(own)).agg(
+        F.sort_array(F.collect_list(span)).alias(spans)
     )
+    once = docs.withColumn(mark, _mark()).dropDuplicates(["doc_id", mark])
+    joined = once.join(found.select(doc, own, spans), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(own)))
+    return joined.withColumn(words, F.regexp_extract_all(F.col("text"), F.lit(X.BLANKS + "*" + X.WORD), F.lit(0))), words, spans
+
+
+def _cut(words: Column, span: Column) -> Column:
+    return F.array_join(F.slice(words, (span["from"] + 1).cast("int"), (span["to"] - span["from"]).cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix as documents: one row per document and pass, its text the words taken in that pass.
+
+    Words keep the blanks before them, so a document taken whole is its text unchanged
+    but for blanks at its end.
+    """
+    joined, words, spans = _words_and_spans(docs, block, seed, shard_slots)
+    text = F.array_join(F.transform(spans, lambda s: _cut(F.col(words), s)), "")
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+def mixed_shards(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix as it is trained on: one row per slot, ``shard``, ``place``, ``source`` and the block's ``text``.
+
+    A block's words come from one or more documents in a row; blanks before a document's first word are one space.
+    """
+    joined, words, spans = _words_and_spans(docs.select("doc_id", "source", "text"), block, seed, shard_slots)
+    parts = joined.select("source", words, F.explode(spans).alias("span"))
+    parts = parts.select(
+        "source", "span.shard", "span.place", "span.start", F.regexp_replace(_cut(F.col(words), F.col("span")), f"^{X.BLANKS}+", "").alias("part")
+    )
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("start", "part"))), lambda p: p["part"])
+    return parts.groupBy("shard", "place", "source").agg(F.array_join(whole, " ").alias("text"))

@@ -124,6 +124,44 @@ def test_shard_counts_meet_every_quota(docs, spark):
     assert {r.source_no: r.n for r in counts.collect()} == {r.source_no: r.quota for r in plan.collect()}
 
 
+def test_the_draw_decides_the_mix(docs):
+    """Taken words, first shards and blocks recomputed in plain Python from the slots; every slot is filled once."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(rnd.choice([0, 5, 70, 200]))), "en", rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(80)]
+    given = docs(rows).withColumn("pass", F.lit("old")).withColumn("start", F.lit(1))
+    sizes = given.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    plan = mixing.planned(sizes, block=16).cache()
+    slots = mixing.drawn_slots(plan, shard_slots=32).collect()
+    names = {r.source_no: r.source for r in plan.collect()}
+    counts = {(r.shard, r.source_no): r.slots for r in mixing.drawn_counts(plan, shard_slots=32).collect()}
+    assert Counter((r.shard, r.source_no) for r in slots) == counts
+    assert len({r.shard for r in slots}) > 3 and len({n for (s, k), n in counts.items() if k == 0}) > 2
+    for shard in {r.shard for r in slots}:
+        places = sorted(r.place for r in slots if r.shard == shard)
+        assert places == list(range(len(places))) and len(places) <= 32
+    assert len({(r.source_no, r["index"], r["pass"]) for r in slots}) == len(slots)
+    words = {k: [(d, w) for d, t, _, s in rows if s == name for w in (t or "").split()] for k, name in names.items()}
+    taken, first, blocks = Counter(), {}, {}
+    for r in slots:
+        part = words[r.source_no][16 * r["index"] : 16 * r["index"] + 16]
+        blocks[r.shard, r.place] = (names[r.source_no], " ".join(w for _, w in part))
+        for d, _ in part:
+            taken[d] += 1
+            first[d] = min(first.get(d, r.shard), r.shard)
+    got = mixing.taken_words(given, block=16, shard_slots=32).collect()
+    assert {r.doc_id: (r.taken, r.first_shard) for r in got} == {d: (taken[d], first.get(d)) for d, *_ in rows}
+    shards = mixing.mixed_shards(given, block=16, shard_slots=32).collect()
+    assert {(r.shard, r.place): (r.source, r.text) for r in shards} == blocks and len(shards) == len(slots)
+    mixed = mixing.mixed_documents(given, block=16, shard_slots=32)
+    assert mixed.columns == given.columns and sum(len(r.text.split()) for r in mixed.collect()) == sum(taken.values())
+
+
+def test_rows_of_one_id_are_mixed_alike_on_a_rerun(docs):
+    rows = [(own, " ".join(f"w{own}_{i}_{j}" for j in range(40 + i % 3)), "en", "ab"[i % 5 == 0]) for i in range(300) for own in (7, None)]
+    one, two = (Counter(map(tuple, mixing.mixed_documents(docs(rows).repartition(n), block=16).collect())) for n in (2, 7))
+    assert one == two and sum(len(t[1].split()) for t in one.elements())
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://ORG", "http://a.b.ORG/x", "http://example.org/es/", "http://example.org/es", "http://x.example.org/en/17?q",
     "http://notexample.org/es/1", "https://q.com/fr/1#x", "https://q.com/de/1", "https://q.com?fr/", "a://b://org/", "http://org:80/", "http://spam-farm.net/", "http://org/\n/x",
