@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 POINTER = "current.json"
 
 
-def _place(spark: SparkSession, path: str):
+def place(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _replace(spark: SparkSession, path: str, text: str) -> None:
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
     """Puts a small file in place in one step."""
-    staged, store = _place(spark, f"{path}.{uuid.uuid4().hex}")
+    staged, store = place(spark, f"{path}.{uuid.uuid4().hex}")
     stream = store.create(staged)
     stream.write(text.encode())
     stream.close()
@@ -31,7 +31,7 @@ def _replace(spark: SparkSession, path: str, text: str) -> None:
 
 def current(spark: SparkSession, root: str, name: str) -> dict | None:
     """What is published under a name: ``version``, ``schema``, ``records`` by split, and the version ``before``."""
-    target, store = _place(spark, f"{root.rstrip('/')}/{name}/{POINTER}")
+    target, store = place(spark, f"{root.rstrip('/')}/{name}/{POINTER}")
     if not store.exists(target):
         return None
     return json.loads(spark.read.text(target.toString(), wholetext=True).first()[0])
@@ -46,7 +46,7 @@ def publish_version(corpus: DataFrame, root: str, name: str, records_per_file: i
     spark = corpus.sparkSession
     target, version = f"{root.rstrip('/')}/{name}", uuid.uuid4().hex
     before = current(spark, root, name) or {"version": None, "before": None}
-    folder, store = _place(spark, f"{target}/data/{version}")
+    folder, store = place(spark, f"{target}/data/{version}")
     try:
         corpus.write.option("maxRecordsPerFile", records_per_file).partitionBy("split").parquet(folder.toString())
     except Exception:
@@ -55,9 +55,9 @@ def publish_version(corpus: DataFrame, root: str, name: str, records_per_file: i
     saved = spark.read.parquet(folder.toString())
     records = {r.split: r.n for r in saved.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     pointer = {"version": version, "schema": json.loads(saved.schema.json()), "records": records, "before": before["version"]}
-    _replace(spark, f"{target}/{POINTER}", json.dumps(pointer))
+    replace_file(spark, f"{target}/{POINTER}", json.dumps(pointer))
     if before["before"]:
-        old, store = _place(spark, f"{target}/data/{before['before']}")
+        old, store = place(spark, f"{target}/data/{before['before']}")
         store.delete(old, True)
     return pointer
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import tablefunctions
 from leafmill.plans import build as B
+from leafmill.plans.incremental import conversions, tree_reader, update_conversions
 from leafmill.session import scratch, written
 from leafmill.sinks.versions import publish_version, read_published
 from leafmill.sinks.writers import export_tree
@@ -61,6 +62,16 @@ def tree_corpus(spark, sf):
     return _profile(B.build_from_tree(spark, tree(spark, sf), scratch(spark, "job")).standard, "category", "split")
 
 
+@query("incremental_corpus", G.RECORDS + " SELECT category, split, count(*) AS n_records, CAST(sum(file_size) AS BIGINT) AS n_bytes FROM records GROUP BY 1, 2")
+def incremental_corpus(spark, sf):
+    """The conversions of the Markdown files, then of all that came later; the corpus of both."""
+    root, folder = tree(spark, sf), scratch(spark, "conversions")
+    listing = written(list_tree(spark, root), "manifest")
+    for files_now in (listing.filter("path LIKE '%.md'"), listing):
+        update_conversions(B.plan_files(files_now), tree_reader(root), folder)
+    return _profile(B.records_from_converted(conversions(spark, folder)), "category", "split")
+
+
 @query("tree_rebuild", EXISTING + " SELECT category, count(*) AS n_records, CAST(sum(file_size) AS BIGINT) AS n_bytes FROM records GROUP BY 1")
 def tree_rebuild(spark, sf):
     return _profile(B.rebuild_existing(spark, tree(spark, sf), scratch(spark, "job")).standard, "category")
