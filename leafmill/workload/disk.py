@@ -12,6 +12,7 @@ from leafmill.sinks.versions import publish_version, read_published
 from leafmill.sinks.writers import export_tree
 from leafmill.sources import treesource
 from leafmill.sources.tree import list_tree, read_contents, read_tasks
+from leafmill.streaming.counts import category_counts, keep_counts
 from leafmill.streaming.ingest import ingest, ingested
 from leafmill.workload import extraction
 from leafmill.workload import registry as G
@@ -168,3 +169,12 @@ def streamed_records(spark, sf):
     out = scratch(spark, "streamed")
     ingest(spark, tree(spark, sf), out, scratch(spark, "stream-checkpoint"), 1000).awaitTermination()
     return _profile(ingested(spark, out), "category")
+
+
+@query("streamed_counts", G.ASSIGNED + """ SELECT repo_name, category, count(*) AS n_files, CAST(0 AS BIGINT) AS n_late FROM assigned
+  WHERE category <> 'other' AND NOT regexp_matches(rel_path, '(^|/)[._]') GROUP BY 1, 2""")
+def streamed_counts(spark, sf):
+    out = scratch(spark, "streamed-counts")
+    for started in keep_counts(spark, tree(spark, sf), out, scratch(spark, "counts-checkpoint")):
+        started.awaitTermination()
+    return category_counts(spark, out)
