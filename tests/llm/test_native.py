@@ -222,7 +222,7 @@ def test_fingerprints(docs):
     assert by[4].near_next == 1.0 and by[5].near_next == 0.0
     assert fingerprint.compared(docs([])).count() == 0
     alone = fingerprint.compared(docs([(1, "a b c d e f")])).first()
-    assert alone.edited == "a b c a b c"[:5] + " " + "a b c"[:5] or len(alone.edited) == 11
+    assert alone.edited == "a b c a b c"
 
 
 def test_anchors_are_closed_syncmers_and_ignore_what_is_around(docs):
