@@ -7,6 +7,7 @@ values stay JSON text until somebody asks for them.
 from __future__ import annotations
 
 import json
+import secrets
 
 import pandas as pd
 import pyarrow as pa
@@ -31,7 +32,7 @@ PARSER = {
 
 
 def parsed(c: Column, kind: str) -> Column:
-    """``from_json`` for text that ``facts`` accepts."""
+    """``from_json`` for text that ``checked`` lets pass."""
     return F.from_json(c, kind, PARSER)
 
 
@@ -45,38 +46,82 @@ def entries(c: Column) -> Column:
     return F.coalesce(F.map_entries(as_object(c)), F.array().cast("array<struct<key:string,value:string>>"))
 
 
-FACTS = pa.struct([("ok", pa.bool_()), ("keyed", pa.bool_()), ("renderable", pa.bool_())])
+#: A string that no text holds: made anew in every driver.
+MARK = secrets.token_hex(16)
+#: Digits at which Python's parser gives an integer up.
+INT_DIGITS = 4300
+#: Values of Jackson's that JSON texts do not have, outside of strings.
+FOREIGN = ["INF", "+I", "+N"]
 
 
-def facts(c: Column, keys: list[str]) -> Column:
-    """One strict parse of a JSON text, in Arrow batches.
+def _bare(c: Column) -> Column:
+    """A JSON text without its strings; neither pattern backtracks."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)\\.", ""), r'"[^"]*+"', "")
 
-    ``ok``: the whole text is one JSON value (NaN and infinities count, single quotes,
-    raw control characters and trailing text do not). ``keyed``: an object with one of
-    ``keys`` at the top. ``renderable``: an object of the shape a specification needs.
-    A NULL text has none of them. Text nested deeper than Python's parser goes (some
-    thousands of levels) is not ok.
+
+def checked(c: Column) -> Column:
+    """The text if all of it is one JSON value, else NULL, without a Python worker.
+
+    One object holds the text twice, in a list and behind a key, each time followed by a
+    member whose value is ``MARK``, which no text knows. After its first value, a list takes
+    a comma and a value, an object a comma, a key and a colon; so a text that fits both places
+    is one value and nothing else, and one that leaves a string or bracket open, or closes one
+    too many, hides a mark. The parser walks over the text without copying it.
+
+    NaN and infinities count; single quotes, raw control characters and trailing text
+    do not. As in Python, an integer of more than ``INT_DIGITS`` digits is no value. Nesting
+    has no limit.
     """
-    wanted = set(keys)
+    held = F.concat(F.lit('{"v":['), c, F.lit(f'],"m":"{MARK}1","w":{{"k":'), c, F.lit(f'}},"n":"{MARK}2"}}'))
+    both = F.struct(F.lit(f"{MARK}1").alias("m"), F.lit(f"{MARK}2").alias("n"))
+    foreign = F.lit(False)
+    for name in FOREIGN:
+        foreign = foreign | (F.contains(c, F.lit(name)) & F.contains(_bare(c), F.lit(name)))
+    digits = rf"[0-9]{{{INT_DIGITS + 1}}}"
+    long_integer = c.rlike(digits) & _bare(c).rlike(rf"(?<![0-9.eE+]|[eE]-){digits}[0-9]*+(?![.eE])")
+    long_integer = (F.octet_length(c) > INT_DIGITS) & long_integer
+    return F.when(parsed(held, "struct<m:string,n:string>").eqNullSafe(both) & ~foreign & ~long_integer, c)
+
+
+def keyed(c: Column, keys: list[str]) -> Column:
+    """Whether a text that ``checked`` lets pass is an object with one of ``keys`` at the top.
+
+    The keys are put before the object's own members with ``MARK`` in their value. A later
+    member of the same name takes its place, or does not fit its type and is reported;
+    other members are walked over. A text that spells no key, with escapes or without, is
+    not parsed.
+    """
+    spelled = F.contains(c, F.lit("\\u"))
+    for k in keys:
+        spelled = spelled | F.contains(c, F.lit(json.dumps(k)))
+    given = "{" + "".join(f'{json.dumps(k)}:{{"s":"{MARK}"}},' for k in keys)
+    kind = "struct<" + "".join(f"`{k}`:struct<s:string>," for k in keys) + "_misfit:string>"
+    fresh = F.struct(*[F.struct(F.lit(MARK).alias("s")).alias(k) for k in keys], F.lit(None).cast("string").alias("_misfit"))
+    own = F.substr(F.ltrim(c, F.lit(" \t\r\n")), F.lit(2))
+    seen = F.from_json(F.concat(F.lit(given), own), kind, {**PARSER, "columnNameOfCorruptRecord": "_misfit"})
+    return F.coalesce(c.rlike(r"\A[ \t\r\n]*+\{[ \t\r\n]*+[^ \t\r\n}]") & spelled & ~seen.eqNullSafe(fresh), F.lit(False))
+
+
+def renderable(c: Column) -> Column:
+    """Whether a text is an object of the shape a specification needs, in Arrow batches."""
 
-    @F.arrow_udf("struct<ok boolean, keyed boolean, renderable boolean>")
+    @F.arrow_udf("boolean")
     def check(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts:
             try:
                 value = json.loads(text.as_py()) if text.is_valid else None
-                ok = text.is_valid
             except (ValueError, RecursionError):
-                value, ok = None, False
-            keyed = isinstance(value, dict) and not wanted.isdisjoint(value)
-            rows.append({"ok": ok, "keyed": keyed, "renderable": isinstance(value, dict) and is_renderable(value)})
-        return pa.array(rows, FACTS)
+                value = None
+            rows.append(isinstance(value, dict) and is_renderable(value))
+        return pa.array(rows, pa.bool_())
 
     return check(c)
 
 
 def has_any_key(c: Column, keys: list[str]) -> Column:
-    return facts(c, keys)["keyed"]
+    """A whole JSON text that is an object with one of ``keys`` at the top."""
+    return checked(c).isNotNull() & keyed(c, keys)
 
 
 def has(obj: Column, key: str) -> Column:

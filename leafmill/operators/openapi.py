@@ -258,7 +258,7 @@ def with_api_markdown(files: DataFrame, source: str = "content", target: str = "
     """Add the Markdown of each document, and ``<target>_ok``; NULL and false
     when it cannot be converted."""
     step = _markdown_steps(source)
-    opened = files.withColumn("_renderable", J.facts(F.col(source), [])["renderable"])
+    opened = files.withColumn("_renderable", J.renderable(F.col(source)))
     opened = opened.withColumn("_spec", step["opened"]).withColumn("_spec", step["checked"]).drop("_renderable")
     opened = opened.withColumn("_endpoints", step["endpoints"]).withColumn("_blobs", step["blobs"])
     opened = opened.withColumn("_pretty", J.indented(F.when(F.size("_blobs") > 0, F.col("_blobs"))))

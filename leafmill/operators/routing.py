@@ -25,14 +25,13 @@ def route(path: Column, content: Column) -> Column:
     Only ``.json`` rows look at the text.
     """
     ext = F.lower(X.extension(path))
-    found = J.facts(F.when(ext == ".json", content), SPEC_ROUTE_KEYS)
     return (
         F.when(ext.isin(DOCUMENT_SUFFIXES), "copy")
         .when(ext == ".py", "python")
         .when(ext == ".ipynb", "notebook")
         .when(
             ext == ".json",
-            F.when(found["keyed"], "api").when(found["ok"], "json").otherwise("bad_json"),
+            F.when(J.checked(content).isNull(), "bad_json").when(J.keyed(content, SPEC_ROUTE_KEYS), "api").otherwise("json"),
         )
     )
 

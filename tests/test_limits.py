@@ -12,6 +12,7 @@ from leafmill.operators import catalog as C
 from leafmill.operators import joins, maps
 from leafmill.operators.convert import convert_files
 from leafmill.operators.metadata import file_type
+from leafmill.operators.routing import is_api_spec, keep_documentation, with_route
 from leafmill.operators.split import split_by_source
 from leafmill.plans import build as B
 
@@ -34,24 +35,63 @@ def test_long_strings_and_deep_nesting_convert(spark):
     assert got["a.ipynb"].n > len(LONG) and got["b.json"].n > len(LONG) and got["c.json"].route == "json" and got["d.json"].route == "api"
 
 
+def valid(t):
+    try:
+        json.loads(t)
+        return True
+    except ValueError:
+        return False
+
+
+def judged(spark, texts, keys):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    return df.select("t", J.checked(F.col("t")).isNotNull().alias("ok"), J.has_any_key(F.col("t"), keys).alias("keyed"))
+
+
 def test_json_is_judged_as_python_does(spark):
     rnd = random.Random(1)
     texts = ['{"x": NaN}', "{'x': 1}", '{"x": "a\nb"}', "1 2", "", "nul", '"a', "[1,]", "\ufeff{}", "-Infinity", '{"openapi": NaN}', '{"\\ud800": 1}', "{}", " [] "]
     texts += ["".join(rnd.choice('{}[]",:1a ') for _ in range(rnd.randrange(1, 8))) for _ in range(300)]
-
-    def valid(t):
-        try:
-            json.loads(t)
-            return True
-        except ValueError:
-            return False
-
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", J.facts(F.col("t"), ["openapi"]).alias("f")).select("t", "f.*")
-    for r in df.collect():
+    for r in judged(spark, texts, ["openapi"]).collect():
         assert r.ok == valid(r.t), r.t
         assert r.keyed == (r.t == '{"openapi": NaN}')
 
 
+def test_json_is_judged_as_python_does_on_broken_texts(spark):
+    rnd = random.Random(2)
+    nines, marks = "9" * 4301, "{}[]\",:1a -+.eE\\\n\tu0NaINF"
+    texts = ["INF", "-INF", "+Infinity", "-NaN", '["INF"]', '["\\"INF"]', '["\\\\",INF]', '["+I"]', "1,2", "1],[2", "1}", "[1],", '"x":1', '1,"x":2', '1],"x":[2']
+    texts += ["01", "1.", ".5", "1e", "1E+5", "-0", "+1", "\x0b1", "\xa01", '"\x7f"', '"\t"', '"\\x"', '"\\u12"', "/*c*/1", "{a:1}", "[]\x00", "0x10", "1d", "\u0663"]
+    texts += [nines, nines[1:], "-" + nines, "1." + nines, nines + ".0", nines + "e1", "1e-" + "0" * 4400 + "5", f'"{nines}"', f"[{nines}]", f'{{"a":[1.0,{nines},2.5]}}']
+    texts += ['"' + '\\"' * 30_000 + '"', '["' + '\\"' * 30_000 + '",INF]', "[" * 5000 + "]" * 5000, "[" * 5000 + "]" * 4999]
+    for _ in range(3000):
+        chars = list(rnd.choice(['{"openapi": "3", "x": [1, 2.5e3, -1, true, null, "a\\n\\u00e9"]}', '[NaN, -Infinity, {"swagger": {}}]']))
+        for _ in range(rnd.randrange(1, 4)):
+            at = rnd.randrange(len(chars))
+            chars[at : at + rnd.randrange(0, 3)] = rnd.choice(marks)
+        texts.append("".join(chars))
+    for r in judged(spark, texts, ["openapi", "swagger"]).collect():
+        value = json.loads(r.t) if valid(r.t) else None
+        assert r.ok == valid(r.t), r.t[:80]
+        assert r.keyed == (isinstance(value, dict) and not {"openapi", "swagger"}.isdisjoint(value)), r.t[:80]
+
+
+def test_keys_are_found_whatever_they_hold(spark):
+    deep = "[" * 5000 + "]" * 5000
+    values = ["null", "[1]", "{}", '{"s":1}', '{"s":null}', '"x"', "1.5", "NaN", "true", deep, '"' + "x" * 3_000_000 + '"']
+    yes = [f'{{"openapi":{v}}}' for v in values] + [f' {{"x":{v},\n"swagger" : {v}}}' for v in values] + ['{"open\\u0061pi":1}', '{"openapi":1,"openapi":{}}']
+    no = [f'{{"x":{v}}}' for v in values] + [f'[{{"openapi":{v}}}]' for v in values] + ["{ }", '{"":1}', '{"Openapi":1}', '{"_misfit":1}', '{"x":{"openapi":1}}', '{"s":1,"m":2,"v":3,"k":4}']
+    got = {r.t: r.keyed for r in judged(spark, yes + no, ["openapi", "swagger"]).collect()}
+    assert [t[:60] for t in yes if not got[t]] == [] and [t[:60] for t in no if got[t]] == []
+
+
+def test_judging_needs_no_python_worker(spark):
+    given = files(spark, **{"a.json": "{}", "b.md": "# b"})
+    for made in (with_route(given), keep_documentation(given, "path"), given.filter(is_api_spec(F.col("content")))):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_long_extension_is_kept(spark):
     ext = "e" * 3000
     assert spark.range(1).select(file_type(F.lit("a." + ext)).alias("t")).first().t == ext
