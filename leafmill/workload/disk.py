@@ -14,6 +14,7 @@ from leafmill.sources import treesource
 from leafmill.sources.tree import list_tree, read_contents, read_tasks
 from leafmill.streaming.counts import category_counts, keep_counts
 from leafmill.streaming.ingest import ingest, ingested
+from leafmill.streaming.retractions import keep_changes, net
 from leafmill.workload import extraction
 from leafmill.workload import registry as G
 from leafmill.workload.corpora import EXISTING
@@ -178,3 +179,23 @@ def streamed_counts(spark, sf):
     for started in keep_counts(spark, tree(spark, sf), out, scratch(spark, "counts-checkpoint")):
         started.awaitTermination()
     return category_counts(spark, out)
+
+
+SHOWN = " NOT regexp_matches(rel_path, '(^|/)[._]')"
+
+
+def _streamed_net(spark, sf, winners, *keys):
+    out = scratch(spark, "streamed-changes")
+    keep_changes(spark, tree(spark, sf), out, scratch(spark, "changes-checkpoint"), winners, 4000).awaitTermination()
+    return net(spark, out, *keys)
+
+
+@query("streamed_categories", G.ASSIGNED + " SELECT repo_name, category, path FROM assigned WHERE" + SHOWN)
+def streamed_categories(spark, sf):
+    return _streamed_net(spark, sf, False, "repo_name", "category", "path")
+
+
+@query("streamed_winners", G.CONVERTED + f""" SELECT dest_path, path FROM (
+    SELECT dest_path, path, row_number() OVER (PARTITION BY dest_path ORDER BY {G.extension('path')}, path) AS n FROM kept WHERE{SHOWN}) WHERE n = 1""")
+def streamed_winners(spark, sf):
+    return _streamed_net(spark, sf, True, "dest_path", "path")
