@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.operators import scan as S
-from leafmill.streaming.ingest import file_stream
+from leafmill.streaming.ingest import file_stream, stream_session
 
 GROUP = ["repo_name", "category"]
 
@@ -46,14 +46,14 @@ def keep_counts(
     spark: SparkSession, root: str, output_dir: str, checkpoint: str, delay: str = "7 days", files_per_batch: int = 1000
 ) -> list[StreamingQuery]:
     """Starts a job over all files there are; files that come later are the next job's."""
-    started = []
+    started, own = [], stream_session(spark)
     for name, made in (("in_time", lambda f: counts_in_time(f, delay)), ("arrived", counts_arrived)):
         target = f"{output_dir.rstrip('/')}/{name}"
 
         def put(rows: DataFrame, number: int, target: str = target) -> None:
             rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-        sink = made(file_stream(spark, root, files_per_batch)).writeStream.outputMode("update").foreachBatch(put)
+        sink = made(file_stream(own, root, files_per_batch)).writeStream.outputMode("update").foreachBatch(put)
         started.append(sink.option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").trigger(availableNow=True).start())
     return started
 

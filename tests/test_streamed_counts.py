@@ -62,3 +62,16 @@ def test_a_stream_takes_files_of_any_age(spark, tmp_path):
     put(tmp_path / "tree", "r/docs/old.md", 900)
     ingest.ingest(spark, *where).awaitTermination()
     assert sorted(r.file_path for r in ingest.ingested(spark, where[1]).collect()) == ["r/docs/new.md", "r/docs/old.md"]
+
+
+def test_state_has_no_more_pieces_than_can_be_worked_on_at_once(spark, tmp_path):
+    """Each is committed with each batch, be it empty; a session's shuffle partitions may be many."""
+    for i in range(40):
+        put(tmp_path / "tree", f"r{i % 3}/docs/{i}.md", 1)
+    many = spark.newSession()
+    many.conf.set("spark.sql.shuffle.partitions", "60")
+    assert run(many, tmp_path, files_per_batch=40) == {(f"r{i}", "docs"): (14 if i == 0 else 13, 0) for i in range(3)}
+    for name in ("in_time", "arrived"):
+        pieces = [p for p in (tmp_path / "checkpoint" / name / "state" / "0").iterdir() if p.name.isdigit()]
+        assert len(pieces) <= spark.sparkContext.defaultParallelism
+    assert many.conf.get("spark.sql.shuffle.partitions") == "60"
