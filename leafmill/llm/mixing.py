@@ -28,6 +28,8 @@ columns pass through ``mixed_documents`` untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -232,6 +234,7 @@ def _words_and_spans(docs: DataFrame, block: int, seed: int, shard_slots: int) -
     Rows that repeat id, source and text share one text row.
     """
     mark, doc, own, spans, words = (X.free_name(docs.columns, n) for n in ("_mark", "_doc", "_own", "_spans", "_words"))
+    named, known = X.free_name(docs.columns, "_named"), X.free_name(docs.columns, "_known")
     placed, plan = _prepared(docs, block=block)
     slots = written(drawn_slots(plan, shard_slots, seed), "slots")
     used = with_blocks(placed, block).join(slots, ["source_no", "index"])
@@ -239,15 +242,28 @@ def _words_and_spans(docs: DataFrame, block: int, seed: int, shard_slots: int) -
     found = used.groupBy("source_no", "start", "pass", F.col("doc_id").alias(doc), F.col("mark").alias(own)).agg(
         F.sort_array(F.collect_list(span)).alias(spans)
     )
-    once = docs.withColumn(mark, _mark()).dropDuplicates(["doc_id", mark])
-    joined = once.join(found.select(doc, own, spans), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(mark) == F.col(own)))
+    # The id as two plain keys: rows without one meet too, and one shuffle of the texts serves both steps.
+    once = docs.withColumns({mark: _mark(), named: _id_text(F.col("doc_id")), known: F.col("doc_id").isNotNull()})
+    once = once.dropDuplicates([named, known, mark])
+    found = found.select(_id_text(F.col(doc)).alias(named), F.col(doc).isNotNull().alias(known), F.col(own).alias(mark), spans)
+    joined = once.join(found, [named, known, mark])
     return joined.withColumn(words, F.regexp_extract_all(F.col("text"), F.lit(X.BLANKS + "*" + X.WORD), F.lit(0))), words, spans
 
 
+def _id_text(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
 def _cut(words: Column, span: Column) -> Column:
     return F.array_join(F.slice(words, (span["from"] + 1).cast("int"), (span["to"] - span["from"]).cast("int")), "")
 
 
+def _per_span(words: str, spans: str, made: Callable[[Column, Column], Column]) -> Column:
+    """``made(words, span)`` of every span. The words are bound once a row: named inside the
+    inner function, the optimizer would put their expression there, and each span would split the whole text again."""
+    return F.transform(F.array(F.col(words)), lambda w: F.transform(F.col(spans), lambda s: made(w, s)))[0]
+
+
 def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix as documents: one row per document and pass, its text the words taken in that pass.
 
@@ -255,7 +271,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED,
     but for blanks at its end.
     """
     joined, words, spans = _words_and_spans(docs, block, seed, shard_slots)
-    text = F.array_join(F.transform(spans, lambda s: _cut(F.col(words), s)), "")
+    text = F.array_join(_per_span(words, spans, _cut), "")
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -268,9 +284,11 @@ def mixed_shards(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, sh
     A block's words come from one or more documents in a row; blanks before a document's first word are one space.
     """
     joined, words, spans = _words_and_spans(docs.select("doc_id", "source", "text"), block, seed, shard_slots)
-    parts = joined.select("source", words, F.explode(spans).alias("span"))
-    parts = parts.select(
-        "source", "span.shard", "span.place", "span.start", F.regexp_replace(_cut(F.col(words), F.col("span")), f"^{X.BLANKS}+", "").alias("part")
-    )
+
+    def part(w: Column, s: Column) -> Column:
+        bare = F.regexp_replace(_cut(w, s), f"^{X.BLANKS}+", "")
+        return F.struct(s["shard"].alias("shard"), s["place"].alias("place"), s["start"].alias("start"), bare.alias("part"))
+
+    parts = joined.select("source", F.explode(_per_span(words, spans, part)).alias("_part")).select("source", "_part.*")
     whole = F.transform(F.sort_array(F.collect_list(F.struct("start", "part"))), lambda p: p["part"])
     return parts.groupBy("shard", "place", "source").agg(F.array_join(whole, " ").alias("text"))

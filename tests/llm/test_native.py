@@ -241,3 +241,11 @@ def test_every_text_with_words_has_an_anchor(docs):
     assert len(got) == len(rows) and all(r.fp for r in got)
     assert len({tuple(r.fp) for r in got}) == len(rows)
     assert all(r.near_next == 0.0 for r in got)
+
+
+def test_a_mixed_document_is_split_into_words_once(docs):
+    """Not once for each of its spans: the time of a document grew with the square of its length."""
+    given = docs([(i, "some word " * 400, "en", f"s{i % 2}") for i in range(2)])
+    for made in (mixing.mixed_documents(given), mixing.mixed_shards(given)):
+        shown = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all(" in shown and "slice(regexp_extract_all(" not in shown
