@@ -11,7 +11,8 @@ that lies across two tokens becomes whole again once both are there; bytes that
 form one (an id list cut inside a character) read as U+FFFD in ``decoded_text``.
 
 Tasks encode a batch in runs of some 200,000 characters, so memory follows one run and
-not the batch; a longer single text is a run of its own.
+not the batch; a longer single text is a run of its own. Digests cut the text by the pattern
+first and encode each piece that a worker has not met yet.
 
 Defined results: a null or empty text has no tokens and decodes to nothing; the order of
 rows, repeated rows and extra columns are as they were.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import texts as X
 
-RUN_CHARACTERS = 200_000
+#: Characters of a run; pieces whose ids a worker keeps, and the length up to which it keeps them.
+RUN_CHARACTERS, KNOWN_PIECES, SHORT_PIECE = 200_000, 200_000, 40
 
 
 def byte_characters() -> list[str]:
@@ -85,6 +88,38 @@ def runs(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
+@functools.lru_cache(maxsize=2)
+def _pieces(path: str, pattern: str):
+    """What cuts a text into pieces, a tokenizer of single pieces, and the ids of pieces met; made once per Python worker."""
+    import copy
+
+    import regex
+    from tokenizers import pre_tokenizers
+
+    whole = copy.deepcopy(tokenizer(path, pattern)[0])
+    whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    found = regex.compile(pattern)
+    if found.groups:
+        raise ValueError("a pattern with groups does not give whole pieces")
+    return found.findall, whole, {}
+
+
+def ids_of(texts: list[str], path: str, pattern: str) -> Iterator[list[int]]:
+    """The ids of each text. Texts share most of their pieces, so a worker encodes a piece once and keeps
+    its ids, those of short pieces up to ``KNOWN_PIECES``; the other pieces are encoded with every run."""
+    cut, whole, known = _pieces(path, pattern)
+    if len(known) > KNOWN_PIECES:
+        known.clear()
+    pieces = [cut(t) for t in texts]
+    new = list({p for own in pieces for p in own if p not in known})
+    known.update(zip(new, (e.ids for e in whole.encode_batch(new, add_special_tokens=False)), strict=True))
+    for own in pieces:
+        yield list(itertools.chain.from_iterable(map(known.__getitem__, own)))
+    for p in new:
+        if len(p) > SHORT_PIECE:
+            del known[p]
+
+
 ENCODED = pa.struct([("ids", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int32()))])
 
 
@@ -141,16 +176,16 @@ def encoded_rows(
 
     @F.arrow_udf("struct<n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ">")
     def digest(column: pa.Array) -> pa.Array:
-        made, table = tokenizer(path, pattern)
+        _, table = tokenizer(path, pattern)
         parts = []
         for run in runs([t or "" for t in column.to_pylist()]):
             rows = []
-            for e in made.encode_batch(run, add_special_tokens=False):
-                own = np.array(e.ids, "<u4")
+            for found in ids_of(run, path, pattern):
+                own = np.array(found, "<u4")
                 row = {
                     "n_tokens": len(own),
                     "ids_sha256": hashlib.sha256(own.tobytes()).hexdigest(),
-                    "decoded_sha256": hashlib.sha256(b"".join(map(table.__getitem__, own.tolist()))).hexdigest(),
+                    "decoded_sha256": hashlib.sha256(b"".join(map(table.__getitem__, found))).hexdigest(),
                 }
                 rows.append(row | {"ids": own.view(np.int32)} if ids else row)
             parts.append(pa.array(rows, kind))

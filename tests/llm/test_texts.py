@@ -229,3 +229,23 @@ def test_pipeline_of_nothing_and_of_nulls(spark, docs):
         for _, stage in corpus_pipeline.STAGES:
             given = stage(spark, given, "")
         assert given.count() == 0
+
+
+def test_pieces_are_encoded_once_a_worker(monkeypatch):
+    """Digests cut a text first; a piece met before costs a look-up, and a worker keeps short pieces only."""
+    path, pattern = queries.ranks()
+    cut, whole, known = bpe._pieces(path, pattern)
+    asked = []
+
+    class Counting:
+        def encode_batch(self, pieces, **how):
+            asked.extend(pieces)
+            return whole.encode_batch(pieces, **how)
+
+    monkeypatch.setattr(bpe, "_pieces", lambda *_: (cut, Counting(), known))
+    known.clear()
+    run = ["one two two", "two one " + "x" * 99, "", "It'ſ K'S \r\n  　 end 1٠"]
+    want = [e.ids for e in bpe.tokenizer(path, pattern)[0].encode_batch(run, add_special_tokens=False)]
+    assert list(bpe.ids_of(run, path, pattern)) == want == list(bpe.ids_of(run, path, pattern))
+    assert asked.count(" two") == 1 and asked.count(" " + "x" * 99) == 2
+    assert max(map(len, known)) <= bpe.SHORT_PIECE
