@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.session import slim_batches  # noqa: F401
+
 BLANKS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK_CHARACTERS = " \t\n\x0b\x0c\r"
@@ -32,16 +34,3 @@ def free_name(taken: list[str], wish: str) -> str:
     while wish.lower() in lower:
         wish += "_"
     return wish
-
-
-#: Rows and bytes of an Arrow batch at most: whole texts go through, and a task holds some copies of a batch.
-BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
-
-
-def slim_batches(spark: SparkSession) -> None:
-    """Lowers the session's bounds of Arrow batches; lower ones stay. Results do not depend on them."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key).lower().rstrip("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))

@@ -6,12 +6,18 @@ Rows go to the function as plain dicts: integers stay integers and NULL is None.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from leafmill.session import slim_batches
+
+#: Rows given out at a time, however many a function makes of one.
+ROWS_AT_ONCE = 1000
+
 
 def _ddl(df: DataFrame, added: str) -> StructType:
     new = StructType.fromDDL(added)
@@ -24,9 +30,11 @@ def _mapped(df: DataFrame, function: Callable[[dict], Iterable[dict]], schema: S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for row in batch.to_pylist() for r in function(row)]
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in kind.names} for r in rows], schema=kind)
+            made = ({n: r.get(n) for n in kind.names} for row in batch.to_pylist() for r in function(row))
+            while rows := list(islice(made, ROWS_AT_ONCE)):
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
+    slim_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
