@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import patterns as P
 from leafmill.functions import text as X
+from leafmill.functions.reuse import built_once
 from leafmill.schema import DESCRIPTION_CHARS, RECORD_DEFAULTS
 
 
@@ -35,25 +36,28 @@ def file_type(path: Column) -> Column:
     return F.when(ext != "", ext.substr(F.lit(2), F.length(ext))).otherwise("unknown")
 
 
+@built_once
+def _metadata() -> tuple[Column, dict[str, Column]]:
+    readable = F.col("content").isNotNull()
+    stamp = F.coalesce(F.when(readable, X.iso_time(F.col("modified"))), F.lit(""))
+    return X.basename(F.col("file_path")), {
+        "title": F.when(readable, title(F.col("content"), F.col("file_name"))).otherwise(F.col("file_name")),
+        "description": F.when(readable, description(F.col("content"))).otherwise(""),
+        "file_type": F.when(readable, file_type(F.col("file_path"))).otherwise("unknown"),
+        "file_size": F.when(readable, F.col("size")).otherwise(F.lit(0)).cast("long"),
+        "creation_date": stamp,
+        "modification_date": stamp,
+    }
+
+
 def with_metadata(files: DataFrame) -> DataFrame:
     """Record columns from ``file_path, content, size, modified``.
 
     A row without text (it could not be read) keeps its name and gets defaults
     and the type ``unknown``.
     """
-    readable = F.col("content").isNotNull()
-    name = X.basename(F.col("file_path"))
-    stamp = F.coalesce(F.when(readable, X.iso_time(F.col("modified"))), F.lit(""))
-    return files.withColumn("file_name", name).withColumns(
-        {
-            "title": F.when(readable, title(F.col("content"), F.col("file_name"))).otherwise(F.col("file_name")),
-            "description": F.when(readable, description(F.col("content"))).otherwise(""),
-            "file_type": F.when(readable, file_type(F.col("file_path"))).otherwise("unknown"),
-            "file_size": F.when(readable, F.col("size")).otherwise(F.lit(0)).cast("long"),
-            "creation_date": stamp,
-            "modification_date": stamp,
-        }
-    )
+    name, others = _metadata()
+    return files.withColumn("file_name", name).withColumns(others)
 
 
 def standardise(records: DataFrame, compat_flags: bool = False) -> DataFrame:
@@ -61,7 +65,11 @@ def standardise(records: DataFrame, compat_flags: bool = False) -> DataFrame:
 
     ``compat_flags`` reproduces the source tool's always-false type flags.
     """
-    present = set(records.columns)
+    return records.select(*_standard(frozenset(records.columns), compat_flags))
+
+
+@built_once
+def _standard(present: frozenset[str], compat_flags: bool) -> list[Column]:
     columns = []
     for name, kind, default in RECORD_DEFAULTS:
         value = F.lit(default).cast(kind)
@@ -69,7 +77,7 @@ def standardise(records: DataFrame, compat_flags: bool = False) -> DataFrame:
         if name in present and not lost:
             value = F.coalesce(F.col(name).cast(kind), value)
         columns.append(value.alias(name))
-    return records.select(*columns)
+    return columns
 
 
 def union_records(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -105,3 +105,18 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "tree/r0/docs/late.md").write_text("# Late\n\nmore")
     ingest.ingest(spark, root, out, checkpoint, 5).awaitTermination()
     assert rows(ingest.ingested(spark, out)) == batch(texts | {"r0/docs/late.md": "# Late\n\nmore"})
+
+
+def test_a_streams_conversion_is_planned_once_and_a_batch_is_one_job(spark, tmp_path, monkeypatch):
+    """Not once a batch: building the converters' columns took longer than converting a batch."""
+    root, out, checkpoint = (str(tmp_path / n) for n in ("tree", "out", "checkpoint"))
+    for i in range(9):
+        (tmp_path / "tree" / f"r{i}" / "docs").mkdir(parents=True)
+        (tmp_path / "tree" / f"r{i}" / "docs" / "a.py").write_text(f"def f{i}(): pass")
+    calls, convert = [], ingest.convert_files
+    monkeypatch.setattr(ingest, "convert_files", lambda files: calls.append(1) or convert(files))
+    writes, write = [], ingest.written
+    monkeypatch.setattr(ingest, "written", lambda *a: writes.append(1) or write(*a))
+    ingest.ingest(spark, root, out, checkpoint, 3).awaitTermination()
+    assert {p.name for p in (tmp_path / "out").iterdir() if p.is_dir()} == {"batch=0", "batch=1", "batch=2"}
+    assert ingest.ingested(spark, out).count() == 9 and len(calls) == 1 and not writes
