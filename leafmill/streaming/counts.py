@@ -24,6 +24,8 @@ from leafmill.operators import scan as S
 from leafmill.streaming.ingest import file_stream, stream_session
 
 GROUP = ["repo_name", "category"]
+#: Files of a batch that ask for a piece of state; a batch changes few groups, and to commit a piece takes longer than they do.
+FILES_PER_PIECE = 250
 
 
 def categorised(files: DataFrame) -> DataFrame:
@@ -47,6 +49,8 @@ def keep_counts(
 ) -> list[StreamingQuery]:
     """Starts a job over all files there are; files that come later are the next job's."""
     started, own = [], stream_session(spark)
+    pieces = min(int(own.conf.get("spark.sql.shuffle.partitions")), -(-files_per_batch // FILES_PER_PIECE))
+    own.conf.set("spark.sql.shuffle.partitions", pieces)
     for name, made in (("in_time", lambda f: counts_in_time(f, delay)), ("arrived", counts_arrived)):
         target = f"{output_dir.rstrip('/')}/{name}"
 

@@ -75,3 +75,14 @@ def test_state_has_no_more_pieces_than_can_be_worked_on_at_once(spark, tmp_path)
         pieces = [p for p in (tmp_path / "checkpoint" / name / "state" / "0").iterdir() if p.name.isdigit()]
         assert len(pieces) <= spark.sparkContext.defaultParallelism
     assert many.conf.get("spark.sql.shuffle.partitions") == "60"
+
+
+def test_a_small_batch_has_few_pieces_of_state_and_all_names_are_written_seldom(spark, tmp_path):
+    """A piece is committed for every few hundred files; names given out are not gathered every ten batches."""
+    for i in range(24):
+        put(tmp_path / "tree", f"r{i % 3}/docs/{i}.md", 1)
+    assert run(spark, tmp_path, files_per_batch=2) == {(f"r{i}", "docs"): (8, 0) for i in range(3)}
+    for name in ("in_time", "arrived"):
+        checkpoint = tmp_path / "checkpoint" / name
+        assert len([p for p in (checkpoint / "state" / "0").iterdir() if p.name.isdigit()]) == 1
+        assert not list((checkpoint / "sources" / "0").glob("*.compact"))
