@@ -106,3 +106,22 @@ def test_a_listing_does_not_hold_a_folder(tmp_path, monkeypatch, by):
             (tmp_path / name / f"r/docs/{i:04d}.md").touch()
         assert sum(1 for _ in walk(name)) == n
     assert held(walk("large")) < 1.5 * held(walk("small"))
+
+
+def test_a_commit_takes_slim_batches_and_reads_back_in_parts(spark, tmp_path):
+    n, size = big_files(tmp_path / "plain")
+    root, before = str(tmp_path / "committed"), {key: spark.conf.get(key) for key in BOUNDS}
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    made = spark.read.text(str(tmp_path / "plain/r/docs"), wholetext=True).select(F.concat(F.lit("r/docs/"), name).alias("dest_path"), F.col("value").alias("markdown"))
+    try:
+        for key in BOUNDS:
+            spark.conf.set(key, str(1 << 30))
+        assert treesource.commit_tree(made, root) == {"files": n, "bytes": n * size}
+        for key, most in BOUNDS.items():
+            assert int(spark.conf.get(key)) <= most
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    columns = [StructField(c.split()[0], StringType()) for c in (treesource.LISTED + treesource.TEXT).split(", ")]
+    reader = treesource.TreeReader({"path": root}, StructType(columns))
+    assert_parts([part["content"].to_pylist() for task in reader.partitions() for part in reader.read(task)], n, size)
