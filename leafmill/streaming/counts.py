@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafmill.operators import scan as S
-from leafmill.streaming.ingest import file_stream, stream_session
+from leafmill.streaming.ingest import stream_session
+from leafmill.streaming.names import named_files, take_names
 
 GROUP = ["repo_name", "category"]
 #: Files of a batch that ask for a piece of state; a batch changes few groups, and to commit a piece takes longer than they do.
@@ -51,13 +52,15 @@ def keep_counts(
     started, own = [], stream_session(spark)
     pieces = min(int(own.conf.get("spark.sql.shuffle.partitions")), -(-files_per_batch // FILES_PER_PIECE))
     own.conf.set("spark.sql.shuffle.partitions", pieces)
+    own.conf.set("spark.sql.files.minPartitionNum", pieces)
+    (names,) = take_names(spark, root, checkpoint, files_per_batch)
     for name, made in (("in_time", lambda f: counts_in_time(f, delay)), ("arrived", counts_arrived)):
         target = f"{output_dir.rstrip('/')}/{name}"
 
         def put(rows: DataFrame, number: int, target: str = target) -> None:
             rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-        sink = made(file_stream(own, root, files_per_batch)).writeStream.outputMode("update").foreachBatch(put)
+        sink = made(named_files(own, names)).writeStream.outputMode("update").foreachBatch(put)
         started.append(sink.option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").trigger(availableNow=True).start())
     return started
 
