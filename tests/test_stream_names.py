@@ -3,7 +3,9 @@
 import json
 import os
 
-from leafmill.streaming import counts, names
+import pytest
+
+from leafmill.streaming import counts, ingest, names
 
 
 def put(root, name, second, text="# T\n\ntext"):
@@ -47,3 +49,36 @@ def test_a_source_keeps_parts_and_not_files(spark, tmp_path):
     for name in ("in_time", "arrived"):
         logged = [p for p in (tmp_path / "checkpoint" / name / "sources/0").iterdir() if p.name.isdigit()]
         assert sum(len(p.read_text().splitlines()) - 1 for p in logged) == 3  # of 41 files
+
+
+def test_a_job_of_many_batches_has_streams_side_by_side(spark, tmp_path):
+    tree, out, checkpoint = (tmp_path / n for n in ("tree", "out", "checkpoint"))
+    want = [f"r{i % 3}/docs/{i}.md" for i in range(17)]
+    for i, name in enumerate(want):
+        put(tree, name, 1_700_000_000 + i)
+
+    def run():
+        ingest.ingest(spark, str(tree), str(out), str(checkpoint), 1).awaitTermination()
+        return sorted(r.file_path for r in ingest.ingested(spark, str(out)).collect())
+
+    assert run() == sorted(want)
+    folders = {p.name for p in out.iterdir() if p.is_dir()}
+    assert folders == {f"batch={n}" for n in range(9)} | {f"batch={n}-1" for n in range(8)}
+    for commits in (checkpoint / "commits", checkpoint / "lane-1/commits"):  # the last batches were written, but their commits were lost
+        last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+        (commits / str(last)).unlink()
+        (commits / f".{last}.crc").unlink(missing_ok=True)
+    put(tree, "r0/docs/late.md", 1)
+    assert run() == sorted([*want, "r0/docs/late.md"])
+
+
+def test_a_file_that_cannot_be_read_ends_the_stream_and_an_older_checkpoint_is_not_taken(spark, tmp_path):
+    put(tmp_path / "tree", "r/docs/a.md", 1)
+    (tmp_path / "begun/offsets").mkdir(parents=True)
+    with pytest.raises(ValueError, match="begin a new one"):
+        ingest.ingest(spark, str(tmp_path / "tree"), str(tmp_path / "out"), str(tmp_path / "begun"))
+    taken = names.take_names(spark, str(tmp_path / "tree"), str(tmp_path / "checkpoint"), 5)
+    (tmp_path / "tree/r/docs/a.md").unlink()
+    query = ingest.file_stream(spark.newSession(), str(tmp_path / "tree"), taken[0]).writeStream.format("noop")
+    with pytest.raises(Exception, match="a.md"):
+        query.option("checkpointLocation", str(tmp_path / "read")).trigger(availableNow=True).start().awaitTermination()
