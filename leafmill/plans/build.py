@@ -9,7 +9,8 @@ Order of work, and what moves:
    written as small tables. Being files, their size is known to the planner,
    which then broadcasts them only if they are small and joins by a spread
    (salted or unique) key if they are not.
-4. one pass over ``converted`` to records; three corpora from the records.
+4. one pass over ``converted`` to the standard corpus; then ``converted`` and the small tables are removed,
+   and the other corpora are written from the standard one.
 """
 
 from __future__ import annotations
@@ -96,10 +97,13 @@ def build_corpora(records: DataFrame) -> Corpora:
     return Corpora(records, sft_corpus(records), code_generation_corpus(records))
 
 
-def save_corpora(records: DataFrame, output_dir: str) -> Corpora:
-    """Write the standard corpus, then the others and the CSVs from it."""
-    spark = records.sparkSession
-    saved = spark.read.parquet(write_corpus(records, output_dir, "standard")).select(*records.columns)
+def save_standard(records: DataFrame, output_dir: str) -> DataFrame:
+    """Write the standard corpus and read it back; what the records were made from is not needed after that."""
+    return records.sparkSession.read.parquet(write_corpus(records, output_dir, "standard")).select(*records.columns)
+
+
+def save_derived(saved: DataFrame, output_dir: str) -> Corpora:
+    """Write the other corpora and the CSVs from the written standard corpus."""
     corpora = build_corpora(saved)
     write_corpus(corpora.sft, output_dir, "sft")
     write_corpus(corpora.code_generation, output_dir, "code_gen")
@@ -107,13 +111,19 @@ def save_corpora(records: DataFrame, output_dir: str) -> Corpora:
     return corpora
 
 
+def save_corpora(records: DataFrame, output_dir: str) -> Corpora:
+    """Write the standard corpus, then the others and the CSVs from it."""
+    return save_derived(save_standard(records, output_dir), output_dir)
+
+
 def build_from_tree(
     spark: SparkSession, root: str, output_dir: str, test_ratio: float = 0.2, seed: int = 42
 ) -> Corpora:
     """All repositories below ``root`` to written corpora."""
     with intermediates(spark):
         converted = written(read_repositories(spark, root), "converted")
-        return save_corpora(records_from_converted(converted, test_ratio, seed), output_dir)
+        saved = save_standard(records_from_converted(converted, test_ratio, seed), output_dir)
+    return save_derived(saved, output_dir)
 
 
 def rebuild_existing(
@@ -126,7 +136,8 @@ def rebuild_existing(
     with intermediates(spark):
         manifest = written(S.existing_outputs(list_tree(spark, tree)).drop("category"), "manifest")
         files = written(read_contents(manifest, tree, read_tasks(manifest)), "existing")
-        return save_corpora(existing_records(files, test_ratio, seed), output_dir)
+        saved = save_standard(existing_records(files, test_ratio, seed), output_dir)
+    return save_derived(saved, output_dir)
 
 
 def choose_repositories(files: DataFrame, catalog: DataFrame, listing: DataFrame | None = None) -> DataFrame:
@@ -160,7 +171,8 @@ def build_catalog(
     """All configured repositories of a files table to written corpora."""
     with intermediates(files.sparkSession):
         converted = written(convert_repositories(files, catalog, listing), "converted")
-        return save_corpora(records_from_converted(converted, test_ratio, seed), output_dir)
+        saved = save_standard(records_from_converted(converted, test_ratio, seed), output_dir)
+    return save_derived(saved, output_dir)
 
 
 def build_organization(
